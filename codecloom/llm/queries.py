@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, near_dedup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,7 +27,12 @@ def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op8_entropy_mixing)}
+def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_groups(_read(spark, sf_dir, "documents"), width=4)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op8_entropy_mixing, op10_hyperminhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
