@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality
+from . import exact_dedup, mixing, near_dedup, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_read(spark, sf_dir, "documents"), with_ids=False)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), *quality.COUNTS[:5], "base_failed", "kept")
@@ -32,7 +37,7 @@ def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op8_entropy_mixing, op10_hyperminhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op4_quality_rules, op5_exact_dedup, op8_entropy_mixing, op10_hyperminhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
