@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup
+from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.score_texts(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"), with_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -42,7 +47,7 @@ def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op3_difference_cover_dedup, op4_quality_rules, op5_exact_dedup, op8_entropy_mixing, op10_hyperminhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_context_mixing_scores, op3_difference_cover_dedup, op4_quality_rules, op5_exact_dedup, op8_entropy_mixing, op10_hyperminhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
