@@ -57,6 +57,11 @@ def public_vocabulary() -> dict:
     return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": (("<|endoftext|>", 50256),)}
 
 
+def _kind(enc):
+    """Type of the ids in tables between the steps: 16 bits where the vocabulary allows."""
+    return np.uint16 if max(enc.n_vocab, END + 1) <= 1 << 16 else np.uint32
+
+
 _PIECE = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "crc")] + [T.StructField("ids", T.BinaryType()), T.StructField("place", T.LongType())]
 )
@@ -67,6 +72,7 @@ def _cutter(vocabulary: dict, window: int, with_ids: bool):
         from pyspark import TaskContext
 
         enc = encoder(**vocabulary)
+        kind = _kind(enc)
         place = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
@@ -75,9 +81,10 @@ def _cutter(vocabulary: dict, window: int, with_ids: bool):
                 for k, t in enumerate(b.column(1)):
                     ids = np.array([*enc.encode(t.as_py() or "", allowed_special="all"), END], np.uint32)
                     for s in range(0, len(ids), window):
-                        part = ids[s : s + window].tobytes()
+                        part = ids[s : s + window]
                         # full windows are done with: their ids travel only if the caller wants them
-                        rows.append((s, len(part) // 4, len(ids), zlib.crc32(part), part if with_ids or len(part) < 4 * window else None, place))
+                        travels = with_ids or len(part) < window
+                        rows.append((s, len(part), len(ids), zlib.crc32(part.tobytes()), part.astype(kind).tobytes() if travels else None, place))
                         owner.append(k)
                         place += 1
                 cols = list(zip(*rows, strict=True))
@@ -89,16 +96,16 @@ def _cutter(vocabulary: dict, window: int, with_ids: bool):
 _ARROW = [pa.field(n, pa.int64()) for n in ("start", "length", "doc_tokens", "crc")] + [pa.field("ids", pa.binary()), pa.field("place", pa.int64())]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        for x in b.column(0):
-            terms = np.unique(np.frombuffer(x.as_py(), np.uint32))
-            if len(terms) and terms[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64)])
-            total[terms] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "df"])
+def _frequencies(kind, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total[np.unique(np.frombuffer(x.as_py(), kind))] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "df"])
+
+    return run
 
 
 class Shard:
@@ -178,7 +185,7 @@ class Shard:
             yield out
 
 
-def _packer(frequencies, n_docs: int, mean: float, window: int, with_ids: bool, names: list[str]):
+def _packer(frequencies, kind, n_docs: int, mean: float, window: int, with_ids: bool, names: list[str]):
     def run(table: pa.Table) -> pa.Table:
         df = frequencies.value
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
@@ -187,9 +194,9 @@ def _packer(frequencies, n_docs: int, mean: float, window: int, with_ids: bool,
         first, size, crc = (table.column(c).to_numpy() for c in ("start", "length", "crc"))
         whole, part = np.flatnonzero(size == window), np.flatnonzero(size < window)
         texts = table.column("ids").to_pylist()
-        frags = [np.frombuffer(texts[k], np.uint32) for k in part]
+        frags = [np.frombuffer(texts[k], kind).astype(np.uint32) for k in part]
         # row of the table, start, length, sequence, offset, crc, ids
-        out = [(k, first[k], window, number, 0, crc[k], texts[k] if with_ids else None) for number, k in enumerate(whole)]
+        out = [(k, first[k], window, number, 0, crc[k], np.frombuffer(texts[k], kind).astype(np.uint32).tobytes() if with_ids else None) for number, k in enumerate(whole)]
         for number, pieces in enumerate(Shard(frags, idf, mean).windows(window), len(whole)):
             at = 0
             for d, a, b in pieces:
@@ -214,14 +221,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     pieces = scratch.write(plain.mapInArrow(_cutter(vocabulary, window, with_ids), T.StructType([plain.schema["id"], *_PIECE.fields])), "pieces")
     fragments = pieces.where(F.col("length") < window)
     n, total = fragments.agg(F.count("*"), F.sum("length")).first()
-    counts = fragments.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    got = counts.toPandas()  # one row per vocabulary entry at most
-    df = np.zeros(int(got["term"].max()) + 1 if len(got) else 1, np.int64)
-    df[got["term"].to_numpy(np.int64)] = got["df"]
+    enc = encoder(**vocabulary)
+    kind, size = _kind(enc), max(enc.n_vocab, END + 1)
+    df = np.zeros(size, np.int64)
+    for term, count in fragments.select("ids").mapInArrow(_frequencies(kind, size), "term long, df long").groupBy("term").agg(F.sum("df")).collect():  # bounded by the vocabulary
+        df[term] = count
     shards = max(1, -(-(total or 0) // SHARD_TOKENS))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
     fields = [T.StructField(c, T.LongType()) for c in ("id", "start", "length", "doc_tokens", "crc", "sequence_id", "offset")]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    run = _packer(spark.sparkContext.broadcast(df), n, (total or 1) / max(1, n), window, with_ids, [f.name for f in fields])
+    run = _packer(spark.sparkContext.broadcast(df), kind, n, (total or 1) / max(1, n), window, with_ids, [f.name for f in fields])
     return dealt.groupBy("shard").applyInArrow(run, T.StructType(fields))
