@@ -35,10 +35,9 @@ def parse_accept_encoding(header: Column | str) -> Column:
     parts = F.filter(F.transform(F.split(F.coalesce(_col(header), F.lit("")), ","), F.trim), lambda x: x != "")
 
     def entry(x: Column, place: Column) -> Column:
-        segments = F.split(x, ";")
-        quality = F.filter(F.transform(F.slice(segments, 2, F.size(segments)), lambda s: F.regexp_extract(F.trim(s), r"^q=(\d+(?:\.\d+)?)$", 1)), lambda s: s != "")
-        q = F.coalesce(F.try_element_at(quality, F.lit(1)).cast("double"), F.lit(1.0))
-        return F.struct((-q).alias("order"), place.alias("place"), F.lower(F.trim(F.element_at(segments, 1))).alias("name"), q.alias("quality"))
+        given = F.regexp_extract(x, r";\s*q=(\d+(?:\.\d+)?)\s*(?:;|$)", 1)
+        q = F.when(given != "", given.cast("double")).otherwise(F.lit(1.0))
+        return F.struct((-q).alias("order"), place.alias("place"), F.lower(F.trim(F.substring_index(x, ";", 1))).alias("name"), q.alias("quality"))
 
     return F.transform(F.array_sort(F.transform(parts, entry)), lambda e: F.struct(e["name"].alias("name"), e["quality"].alias("quality")))
 
