@@ -32,7 +32,7 @@ def _col(c: Column | str) -> Column:
 
 def parse_accept_encoding(header: Column | str) -> Column:
     """array<struct<name, quality>>, highest quality first, equals in the order given; empty for a null header."""
-    parts = F.filter(F.transform(F.split(F.coalesce(_col(header), F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(_col(header), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
     def entry(x: Column, place: Column) -> Column:
         given = F.regexp_extract(x, r";\s*q=(\d+(?:\.\d+)?)\s*(?:;|$)", 1)
