@@ -1,17 +1,18 @@
 """MinHash near-deduplication on HyperMinHash sketches.
 
-1. Sketch: a document's shingles (distinct runs of ``width`` words, A-Z lower-cased) are dealt by hash into 128 buckets; each keeps its
-   smallest value as a 16-bit register: 6 bits of leading zeros, 10 of mantissa. Documents with equal shingle sets
-   fall into one class first, so that copies cost nothing further.
-2. Banding: 32 bands of 4 registers. Two texts of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 4) ** 32, all but
-   5 in 100 million; registers that collide only add candidates.
-3. Candidates: no bucket is expanded into its pairs. In each bucket every member is compared with a few leaders, first
-   the member that meets most others over all bands (the original, in a group of edited copies). Members that a verified
-   link has joined need no further comparison; a bucket with members in several components goes on with more leaders until all
-   members outside each other's component have been compared. Nothing is capped.
-4. Pairs whose sizes exclude the threshold, or whose collision-corrected estimate lies six standard errors below it, go; the rest
-   are verified on the full shingle sets.
-5. Components of the verified links by alternating large-star and small-star contraction, each round a written table.
+1. Sketch: of a document's shingles (distinct runs of ``width`` words, A-Z lower-cased) each of 288 hash functions keeps the smallest value
+   as a 16-bit register: 6 bits of leading zeros, 10 of mantissa. Documents with equal shingle sets fall into one class first,
+   so that copies cost nothing further.
+2. Banding: 48 bands of 6 registers. Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 6) ** 48, 1 in 2 million;
+   registers that collide only add candidates. (Registers filled by one shared hash function would be empty for short texts, and bands
+   of one or two filled registers gather all texts that share a passage: measured, 30 times the candidates.)
+3. Stars: in each bucket every member is compared with one leader, the member that meets most others over all bands (the original, in
+   a group of edited copies). Pairs whose sizes exclude the threshold, or whose collision-corrected estimate lies five standard
+   errors below it, go; the rest are verified on the full shingle sets, and components of the links are found.
+4. Remainder: buckets whose members now lie in several components are dealt out in chunks of ``CHUNK`` members, every pair of
+   chunks to a task, where members of different components are compared, likeliest first, until they are joined
+   or all have been verified. No pair of rows is ever emitted, nothing is capped, and a large bucket is spread over many tasks.
+5. Components by alternating large-star and small-star contraction, each round a written table.
 
 Results in odd cases: a null, empty or wordless text has no shingles and links with nothing. With fewer words than ``width`` the
 whole sequence is the one shingle. Rows without an id link with nothing and stay. Repeated rows share an id and so a component;
@@ -25,19 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
 from .words import WordHashes, mix64, run_hashes
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-EMPTY = 0xFFFF
-#: Cross-component pairs are emitted at once when they are at most so many per row of the open buckets.
-PAIRS_PER_ROW = 24
+#: Members of a bucket that are compared with as many others in one task; and rows that such a task takes in.
+CHUNK, TASK_ROWS = 256, 8_000
+_mults = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_A, _B = _mults[:REGISTERS, None], _mults[REGISTERS:, None]
 
 
 def shingles(raw: bytes, width: int, hashes: WordHashes) -> np.ndarray:
@@ -49,18 +51,16 @@ def shingles(raw: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(run_hashes(w, min(width, len(w)), seed=0 if len(w) >= width else len(w)))
 
 
-def registers(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """n x REGISTERS uint16: the sketch of each owner's values."""
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(n * REGISTERS, none)
-    np.minimum.at(least, owner * REGISTERS + (values & np.uint64(REGISTERS - 1)).astype(np.int64), np.maximum(values >> np.uint64(7), np.uint64(1)))
-    empty = least == none
-    v = np.where(empty, np.uint64(1), least)
-    big = v >= np.uint64(1 << 53)
-    length = np.where(big, np.frexp((v >> np.uint64(8)).astype(np.float64))[1] + 8, np.frexp(v.astype(np.float64))[1])
-    after = (v << (64 - length).astype(np.uint64)) << np.uint64(1)  # the bits behind the leading one
-    reg = ((57 - length).astype(np.uint64) << np.uint64(MANTISSA)) | (after >> np.uint64(64 - MANTISSA))
-    return np.where(empty, EMPTY, reg).astype(np.uint16).reshape(n, REGISTERS)
+def registers(values: np.ndarray) -> np.ndarray:
+    """The sketch of a set of 64-bit hashes: REGISTERS times leading zeros and mantissa of the smallest 32-bit value."""
+    high, low = (values >> np.uint64(32)).astype(np.uint32), values.astype(np.uint32)
+    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(values), 512):
+        np.minimum(least, (high[at : at + 512] * _A + low[at : at + 512] * _B).min(axis=1), out=least)
+    v = np.maximum(least, 1).astype(np.uint64)
+    length = np.frexp(v.astype(np.float64))[1].astype(np.uint64)
+    after = v << (np.uint64(65) - length)  # the bits behind the leading one
+    return (((np.uint64(32) - length) << np.uint64(MANTISSA)) | (after >> np.uint64(64 - MANTISSA))).astype(np.uint16)
 
 
 def _sketcher(width: int):
@@ -71,11 +71,10 @@ def _sketcher(width: int):
                 b = whole.slice(at, 256)
                 sets = [shingles((t.as_py() or "").encode(), width, hashes) for t in b.column(1)]
                 sizes = np.array([len(s) for s in sets], np.int64)
-                reg = registers(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
                 keys = []
                 for s in sets:  # 128 bits of the set
                     keys.append(np.array([s.sum(dtype=np.uint64), mix64(s ^ np.uint64(len(s))).sum(dtype=np.uint64)]).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in reg], pa.binary())], names=["id", "n", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(keys, pa.binary()), pa.array([registers(x).tobytes() if len(x) else b"" for x in sets], pa.binary())], names=["id", "n", "key", "sketch"])
 
     return run
 
@@ -87,20 +86,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return plain.mapInArrow(_sketcher(width), T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType())]))
 
 
-def _estimator(percent: int):
+def least_matches(percent: int) -> float:
+    """Equal registers below which a pair of the wanted similarity is five standard errors out; chance collisions count as equal."""
     collide = 2.0**-MANTISSA / 3  # two values of like size: 1/3 for the same leading zeros, then the mantissa
+    t = percent / 100
+    return REGISTERS * (collide + (1 - collide) * (t - 5 * np.sqrt(t * (1 - t) / REGISTERS)))
+
 
+def _estimator(percent: int):
     @F.pandas_udf(T.BooleanType())
     def plausible(a, b):
         import pandas as pd
 
-        x = np.frombuffer(b"".join(a), np.uint16).reshape(-1, REGISTERS)
-        y = np.frombuffer(b"".join(b), np.uint16).reshape(-1, REGISTERS)
-        used = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-        same = ((x == y) & (x != EMPTY)).sum(axis=1)
-        est = (same / np.maximum(used, 1) - collide) / (1 - collide)
-        t = percent / 100
-        return pd.Series(est >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+        x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, REGISTERS) for c in (a, b))
+        return pd.Series((x == y).sum(axis=1) >= least_matches(percent))
 
     return plausible
 
@@ -116,22 +115,75 @@ def _set_maker(width: int):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, exactly."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verifier(percent: int):
     @F.pandas_udf(T.BooleanType())
     def linked(a, b):
         import pandas as pd
 
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pd.Series(out, dtype="bool")
+        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype="bool")
 
     return linked
 
 
+def _chunk_pairs(percent: int, names: list[str]):
+    """Links between members of different components, for every (bucket, pair of chunks) of the table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
+        h, i, j, c, rep, comp, n = (table.column(k).to_numpy() for k in ("h", "i", "j", "c", "rep", "comp", "n"))
+        band = table.column("band").to_numpy()
+        sketch, sets = table.column("sketch").to_pylist(), table.column("set").to_pylist()
+        edges = np.flatnonzero((np.diff(h) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        out = []
+        for a, b in zip([0, *edges], [*edges, len(h)], strict=True):
+            s = slice(a, b)
+            left, right = np.flatnonzero(c[s] == i[a]) + a, np.flatnonzero(c[s] == j[a]) + a
+            out += _links(left, right, rep, comp, n, sketch, sets, int(band[a]), percent)
+        u, v = zip(*out, strict=True) if out else ([], [])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
+
+    return run
+
+
+def _links(left, right, rep, comp, n, sketch, sets, band: int, percent: int) -> list[tuple[int, int]]:
+    if not len(left) or not len(right):
+        return []
+    x, y = (np.frombuffer(b"".join(sketch[k] for k in side), np.uint16).reshape(-1, REGISTERS) for side in (left, right))
+    least = least_matches(percent)
+    pairs = []
+    for k, own in enumerate(left):
+        maybe = np.flatnonzero((comp[right] != comp[own]) & (100 * np.minimum(n[right], n[own]) >= percent * np.maximum(n[right], n[own])))
+        if len(maybe):
+            same = y[maybe] == x[k]
+            count = same.sum(axis=1)
+            near = count >= least
+            for q, m, r in zip(maybe[near], count[near], same[near], strict=True):
+                # a pair is dealt with in the first band that it shares
+                if rep[own] != rep[right[q]] and int(r.reshape(BANDS, ROWS).all(axis=1).argmax()) == band:
+                    pairs.append((-int(m), own, right[q]))
+    joined: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    out = []
+    for _, p, q in sorted(pairs):
+        a, b = top(int(comp[p])), top(int(comp[q]))
+        if a != b and similar(np.frombuffer(sets[p], np.uint64), np.frombuffer(sets[q], np.uint64), percent):
+            joined[a] = b
+            out.append((int(rep[p]), int(rep[q])))
+    return out
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, component (its least node) of distinct (u, v) edges; nodes without edges are absent."""
     now = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
@@ -153,11 +205,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """h, rep: a row per band that is not empty."""
-    none = F.unhex(F.lit("FFFF" * ROWS))
-    part = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("b"), F.substring(F.col("sketch"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("r")))
-    rows = reps.select("rep", F.explode(part).alias("x")).where(F.col("x.r") != none)
-    return rows.select(F.xxhash64("x.b", "x.r").alias("h"), "rep")
+    """h, band, rep: a row per band."""
+    part = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sketch"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("h")))
+    return reps.select("rep", F.explode(part).alias("x")).select("x.h", "x.band", "rep")
 
 
 def near_links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -166,46 +216,32 @@ def near_links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str,
     shared = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     live = scratch.write(rows.join(shared, "h"), "buckets")
     meets = live.groupBy("rep").agg(F.sum("k").alias("meets"))
-    live = scratch.write(live.join(meets, "rep").select("h", "rep", "meets", F.col("rep").alias("comp")), "live")
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    plausible, linked = _estimator(percent), _verifier(percent)
+    live = live.join(meets, "rep")
+    lead = live.groupBy("h").agg(F.max(F.struct("meets", "rep")).alias("t")).select("h", F.col("t.rep").alias("lead"))
+    pairs = live.join(lead, "h").where(F.col("rep") != F.col("lead")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     side = reps.select("rep", "n", "sketch")
-    found, leaders = None, 1
-    for turn in range(64):
-        if leaders:
-            # the rank is limited per task before rows move, so no task gathers a bucket
-            rank = F.row_number().over(Window.partitionBy("h").orderBy(F.col("meets").desc(), "rep"))
-            lead = live.withColumn("rank", rank).where(F.col("rank") <= leaders).select("h", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))
-            pairs = live.join(lead, "h").where(F.col("comp") != F.col("lead_comp")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        else:
-            other = live.select("h", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))
-            pairs = live.join(other, "h").where(F.col("comp") < F.col("lead_comp")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        near = pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        near = scratch.write(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(plausible("sa", "sb")).select("a", "b"), f"near-{turn}")
-        if near.take(1):
-            ends = near.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-            sets = texts.join(ends, texts["id"] == ends["end"], "left_semi").mapInArrow(_set_maker(width), T.StructType([T.StructField("id", reps.schema["rep"].dataType), T.StructField("set", T.BinaryType())])).dropDuplicates(["id", "set"])
-            sets = scratch.write(sets, f"sets-{turn}")
-            full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-            links = scratch.write(full.where(linked("x", "y")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"links-{turn}")
-            scratch.drop(sets)
-            found = links if found is None else found.unionByName(links)
-        if not leaders:
-            break
-        # rows that led have met their whole bucket; buckets whose rows share a component are done
-        rest = live.join(lead.select("h", F.col("lead").alias("rep")), ["h", "rep"], "left_anti")
-        if found is not None:
-            comps = components(found, scratch, f"comp-{turn}")
-            rest = rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "meets", F.coalesce("component", "rep").alias("comp"))
-        by = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-        before, live = live, scratch.write(rest.join(by, "h", "left_semi"), f"live-{turn}")
-        scratch.drop(before)
-        per = live.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        total = per.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
-        if not total["rows"]:
-            break
-        leaders = 0 if total["pairs"] <= PAIRS_PER_ROW * total["rows"] else leaders * 4
-    return found
+    near = pairs.join(side.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    near = scratch.write(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(_estimator(percent)("sa", "sb")).select("a", "b"), "near")
+    # full sets of every text that shares a bucket
+    ends = live.select(F.col("rep").alias("end")).distinct()
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(ends, F.col("id") == F.col("end"), "left_semi")
+    kind = reps.schema["rep"].dataType
+    sets = scratch.write(texts.mapInArrow(_set_maker(width), T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType())])).dropDuplicates(["id", "set"]), "sets")
+    full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    stars = scratch.write(full.where(_verifier(percent)("x", "y")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "stars")
+    comps = components(stars, scratch, "star").withColumnRenamed("node", "rep")
+    rest = scratch.write(live.join(comps, "rep", "left").select("h", "band", "rep", F.coalesce("component", "rep").alias("comp")), "rest")
+    # a bucket whose members are all in one component, or whose members all are its one leader's, is done
+    open_ = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("h", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
+    rest = rest.join(open_, "h").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    n = rest.agg(F.sum(F.col("chunks"))).first()[0] or 0
+    if not n:
+        return stars
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
+    rest = rest.select("*", other).select("h", "band", "rep", "comp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    rest = rest.join(side, "rep").join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("task", F.pmod(F.xxhash64("h", "i", "j"), F.lit(-(-n // TASK_ROWS))))
+    more = scratch.write(rest.groupBy("task").applyInArrow(_chunk_pairs(percent, ["u", "v"]), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])), "more")
+    return stars.unionByName(more.select(F.col("u").cast(kind), F.col("v").cast(kind)))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,10 +251,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = scratch.write(rows.where("n > 0 and id is not null").groupBy("key", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
     links = near_links(docs, classes, scratch, id_col, text_col, width, percent)
     comp = classes.select("key", "n", "rep")
-    if links is not None:
-        comp = comp.join(components(links, scratch, "all").withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
-    else:
-        comp = comp.select("key", "n", F.col("rep").alias("component"))
+    comp = comp.join(components(links, scratch, "all").withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
     # copies of one class may be a third of all rows: each class is given out in as many places as there are salts
     salts = 16
     comp = comp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
