@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup
+from . import edit_counts, exact_dedup, licences, lm_scoring, mixing, near_dedup, packing, quality, quotations, substring_dedup
+
+from .common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +39,28 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets three edits: words moved into a place that its id picks, a replacement in the middle, a line at the end."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.length(text).cast("long")
+    place = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), size + 1)
+    edits = F.array(*(F.struct(pos.alias("pos"), F.lit(drop).cast("long").alias("drop"), insert.alias("insert")) for pos, drop, insert in ((place, 12, F.substring(text, 1, 40)), (F.floor(size / 2), 5, F.concat(F.lit(" edit "), F.col("doc_id").cast("string"))), (size + 100, 0, F.lit("\nEnd.")))))
+    store = Scratch(spark, "trees").write(edit_counts.build_trees(_read(spark, sf_dir, "documents").select("doc_id", "text")), "store")
+    out = edit_counts.apply_edits(store.withColumn("edits", edits))
+    return out.select("doc_id", "tokens_before", "tokens_after", "chars_split", F.length("text").cast("long").alias("n_chars_after"))
+
+
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mail = quotations.with_quotations(_read(spark, sf_dir, "conversations"))
+    out = quotations.link_quotations(mail)
+    return out.select("conv_id", "turn", "role", F.md5(F.col("own_text").cast("binary")).alias("own_md5"), "n_quotes", "max_level", F.col("parent_order").alias("parent_turn"), F.col("root_order").alias("root_turn"), "depth")
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan_licences(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "licence", "line", F.round("dice", 9).alias("dice"))
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_rates(_read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -47,9 +71,54 @@ def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_lexical_packing, op2_context_mixing_scores, op3_difference_cover_dedup, op4_quality_rules, op5_exact_dedup, op8_entropy_mixing, op10_hyperminhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lexical_packing,
+        op2_context_mixing_scores,
+        op3_difference_cover_dedup,
+        op4_quality_rules,
+        op5_exact_dedup,
+        op6_edit_aware_token_counts,
+        op7_quotation_linking,
+        op8_entropy_mixing,
+        op9_licence_scan,
+        op10_hyperminhash_near_dedup,
+    )
+}
+
+def _licence_sql() -> str:
+    rows = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licences.TEMPLATES.items())
+    words = r"list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+        WITH t AS (SELECT name, {grams} AS b FROM (SELECT name, {words.format("body")} AS w FROM (VALUES {rows}) v(name, body))),
+        blocks AS (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS unit FROM documents),
+        units AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents
+            UNION ALL SELECT doc_id, unit, length(regexp_replace(text[:strpos(text, unit) - 1], '[^\\n]', '', 'g')) FROM blocks WHERE contains(unit, chr(10))),
+        g AS (SELECT doc_id, line, {grams} AS a FROM (SELECT doc_id, line, {words.format("unit")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 400),
+        s AS (SELECT doc_id, name AS licence, line, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM g, t WHERE 2 * least(len(a), len(b)) >= {licences.THRESHOLD} * (len(a) + len(b)))
+        SELECT doc_id, licence, line::BIGINT AS line, round(dice, 9) AS dice FROM s WHERE dice >= {licences.THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, line) = 1"""
+
+
+_NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 
 ORACLE_SQL = {
+    "op9_licence_scan": _licence_sql(),
+    "op7_quotation_linking": rf"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, {_NORMAL.format("text")} AS norm FROM conversations),
+        o AS (SELECT conv_id, norm, min(turn) AS original FROM c WHERE norm <> '' GROUP BY ALL),
+        l AS (SELECT c.conv_id, c.turn, c.role, c.text, p1.turn IS NOT NULL AND p1.norm <> '' AS q1, p2.turn IS NOT NULL AND p2.norm <> '' AS q2,
+                     coalesce(o1.original, o2.original) AS parent
+              FROM c LEFT JOIN c p1 ON p1.conv_id = c.conv_id AND p1.turn = c.turn - 1 LEFT JOIN c p2 ON p2.conv_id = c.conv_id AND p2.turn = c.turn - 2
+              LEFT JOIN o o1 ON o1.conv_id = c.conv_id AND o1.norm = p1.norm LEFT JOIN o o2 ON o2.conv_id = c.conv_id AND o2.norm = p2.norm),
+        r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM l WHERE parent IS NULL
+              UNION ALL SELECT l.conv_id, l.turn, r.root, r.depth + 1 FROM l JOIN r ON l.conv_id = r.conv_id AND l.parent = r.turn)
+        SELECT l.conv_id, l.turn, l.role, md5(regexp_replace(l.text, '^
++|\s+$', '', 'g')) AS own_md5, (q1::INT + q2::INT)::BIGINT AS n_quotes,
+               CASE WHEN q2 THEN 2 WHEN q1 THEN 1 ELSE 0 END::BIGINT AS max_level, l.parent AS parent_turn, r.root AS root_turn, r.depth::BIGINT AS depth
+        FROM l JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AND row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
