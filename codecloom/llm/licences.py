@@ -2,8 +2,9 @@
 
 A text's units are its lines and, where a paragraph has several lines, the paragraph. A unit is lower-cased and reduced to words of letters
 and digits; its distinct bigrams are compared with a template's only if the sizes allow the threshold at all: with ``a`` and ``b``
-bigrams Dice is at most ``2 min(a, b) / (a + b)``. The word count prunes before any bigram is built. Templates are a small fixed
-list inside the expression, so nothing is joined or shuffled, and no key can be hot.
+bigrams Dice is at most ``2 min(a, b) / (a + b)``. By the same bound a match shares so many of a template's bigrams that it must hold one
+of any set that leaves fewer out; so a few key words, chosen from the templates, occur in every text and unit that can match, and
+all others are dropped before they are split. Templates are a small fixed list inside the expression: nothing is joined and no key can be hot.
 
 Results in odd cases: null and empty texts, and units of fewer than two words, match nothing. Of several units matching one template in a
 document the best counts, equals by the first line. Repeated rows are reported each. An empty table gives no rows. Extra columns are
@@ -12,6 +13,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +48,37 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.sub(r"[^a-z0-9]+", " ", text.lower()).split(" ") if w]
 
 
+def _grams(text: str) -> set[tuple[str, str]]:
+    w = words_of(text)
+    return set(zip(w, w[1:], strict=False))
+
+
+def key_words(threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold for some template holds one.
+
+    Of ``n`` bigrams a match shares ``need = ceil(threshold / (2 - threshold) * n)`` at least, so it holds one of any ``n - need + 1``.
+    """
+    left = {}
+    for name, text in TEMPLATES.items():
+        g = _grams(text)
+        left[name] = [g, len(g) - math.ceil(threshold / (2 - threshold) * len(g) - 1e-9) + 1]
+    chosen: list[str] = []
+    while any(k > 0 for _, k in left.values()):
+        gain: dict[str, int] = {}
+        for g, k in left.values():
+            for w in {w for pair in g for w in pair if len(w) > 4} or {w for pair in g for w in pair}:
+                gain[w] = gain.get(w, 0) + min(max(k, 0), sum(w in pair for pair in g))
+        best = max(gain, key=lambda w: (gain[w], len(w), w))
+        if not gain[best]:  # no long word is left: take any
+            gain = {w: len(w) for g, k in left.values() if k > 0 for pair in g for w in pair}
+            best = max(gain, key=lambda w: (gain[w], w))
+        chosen.append(best)
+        for entry in left.values():
+            hit = {pair for pair in entry[0] if best in pair}
+            entry[0], entry[1] = entry[0] - hit, entry[1] - len(hit)
+    return chosen
+
+
 def _template_rows(threshold: float) -> Column:
     rows = []
     for name, text in TEMPLATES.items():
@@ -72,10 +105,12 @@ def _units(text: Column) -> Column:
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per document and template found: id, licence, line (of the best unit, from 0), dice."""
-    sizes = [len({(a, b) for a, b in zip(w, w[1:], strict=False)}) for w in map(words_of, TEMPLATES.values())]
+    sizes = [len(_grams(text)) for text in TEMPLATES.values()]
     low, high = threshold / (2 - threshold) * min(sizes), (2 - threshold) / threshold * max(sizes)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    units = rows.select("id", "row", F.explode(_units(F.col("text"))).alias("u"))
+    keys = "|".join(key_words(threshold))
+    rows = rows.where(F.lower("text").rlike(keys))
+    units = rows.select("id", "row", F.explode(_units(F.col("text"))).alias("u")).where(F.lower("u.unit").rlike(keys))
     # a unit has at least as many words as bigrams and one; far longer ones cannot come down to a template's size unless they repeat
     clean = F.split(F.trim(F.regexp_replace(F.lower("u.unit"), "[^a-z0-9]+", " ")), " ")
     # explode of one element keeps Spark from writing the expression out at each use
