@@ -7,9 +7,10 @@ documents choose the cut-offs, per stratum (language) and rule:
 2. Selection: the cut-off that rejects most low-quality documents, a good one rejected counting as ``PRICE`` bad ones missed. A rule that
    catches nothing, or no more than it costs, is not used.
 3. Certification: from the loosest cut-off towards the selected one, each must show, by the exact binomial tail on the good documents
-   of the other fold, that its false-rejection rate is at most ``alpha / rules``, at level ``delta / (strata * rules)``. The test stops
-   at the first cut-off that fails (fixed-sequence testing, so the grid costs no correction); strata and rules are Bonferroni
-   corrected. With probability ``1 - delta``, no stratum loses more than ``alpha`` of its good documents to the rules.
+   of the other fold, that its false-rejection rate is at most ``alpha`` over the rules selected in its stratum, at level ``delta``
+   over all rules selected. The test stops at the first cut-off that fails (fixed-sequence testing, so the grid costs no
+   correction); strata and rules are Bonferroni corrected, over those the selection fold chose, which the certification fold does not
+   know. With probability ``1 - delta``, no stratum loses more than ``alpha`` of its good documents to the rules.
 
 A stratum with too few labels to certify anything keeps all that passes the base rule. Counts and thresholds cover all documents and
 labels. Features are one pass of Arrow batches with no shuffle; histograms of labelled documents are the only thing aggregated.
@@ -174,16 +175,17 @@ def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA)
         *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"out_{c}") for c in ("good_a", "bad_a", "good_b")),
         F.sum("good_b").over(one).alias("n_b"),
     )
-    n_strata = full.select("stratum").distinct().agg(F.count("*").alias("strata"))  # one row
-    tests = tests.crossJoin(F.broadcast(n_strata))
+    # of equal worth the loosest
     worth = F.col("out_bad_a") - PRICE * F.col("out_good_a")
-    tail = _tails(F.col("out_good_b"), F.col("n_b"), F.lit(alpha / len(RULES)))
-    tests = tests.withColumn("worth", worth).withColumn("fails", (tail > F.lit(delta) / (F.col("strata") * len(RULES))).cast("int"))
-    # of equal worth the loosest; then the tightest at or above it such that it and all looser ones pass
-    best = F.max(F.struct("worth", "cell")).over(one)
-    failed = F.sum("fails").over(one.orderBy(F.col("cell").desc()))
-    chosen = tests.select("stratum", "rule", "cell", best.alias("best"), failed.alias("failed"))
-    chosen = chosen.where((F.col("best.worth") > 0) & (F.col("failed") == 0) & (F.col("cell") >= F.col("best.cell"))).groupBy("stratum", "rule").agg(F.min("cell").alias("cut"))
+    tests = tests.withColumn("best", F.max(F.struct(worth.alias("worth"), F.col("cell").alias("cell"))).over(one)).where("best.worth > 0")
+    tests = tests.withColumn("rules", F.size(F.collect_set("rule").over(Window.partitionBy("stratum"))))
+    tests = Scratch(labelled.sparkSession, "quality").write(tests, "tests")  # a row per stratum, rule and cell
+    selected = max(1, tests.select("stratum", "rule").distinct().count())
+    tail = _tails(F.col("out_good_b"), F.col("n_b"), F.lit(alpha) / F.col("rules"))
+    tests = tests.withColumn("fails", (tail > delta / selected).cast("int"))
+    # the tightest cut-off at or above the selected one such that it and all looser ones pass
+    tests = tests.withColumn("failed", F.sum("fails").over(one.orderBy(F.col("cell").desc())))
+    chosen = tests.where((F.col("failed") == 0) & (F.col("cell") >= F.col("best.cell"))).groupBy("stratum", "rule").agg(F.min("cell").alias("cut"))
     return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == i, F.col("cut"))).alias(f"cut_{r}") for i, r in enumerate(RULES)))
 
 
@@ -220,7 +222,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scratch = Scratch(docs.sparkSession, "quality")
     wanted = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("label_id")).distinct()
     plain = docs.select(docs[id_col].alias("id"), docs[stratum_col].cast("string").alias("stratum"), docs[text_col].cast("string").alias("text"))
-    features = with_counts(plain.join(wanted, plain["id"] == wanted["label_id"], "left_semi"), "text").drop("text")
+    features = scratch.write(with_counts(plain.join(wanted, plain["id"] == wanted["label_id"], "left_semi"), "text").drop("text"), "features")
     cuts = scratch.write(thresholds(labelled_docs(features, labels), **risk), "cuts").withColumnRenamed("stratum", "cut_stratum")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[stratum_col].cast("string").alias("stratum"), docs[text_col].cast("string").alias("text"))
     both = with_counts(whole, "text")
