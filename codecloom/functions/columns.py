@@ -31,8 +31,8 @@ def _bytes(col: Column | str) -> Column:
     return c.cast("binary")
 
 
-def _apply(kernel: Callable[..., Any], cols: list[Column], kind: T.DataType = BINARY, on_error: str = "raise") -> Column:
-    """``kernel`` over rows: null if the first argument is."""
+def _apply(kernel: Callable[..., Any], cols: list[Column], kind: T.DataType = BINARY, on_error: str = "raise", once: bool = False) -> Column:
+    """``kernel`` over rows: null if the first argument is. ``once`` keeps the optimizer from moving or repeating the call."""
     if on_error not in ("raise", "null", "result"):
         raise ValueError("on_error must be raise, null or result")
     arrow = _HEADER if kind == HEADER else _ARROW[kind.simpleString()]
@@ -64,12 +64,13 @@ def _apply(kernel: Callable[..., Any], cols: list[Column], kind: T.DataType = BI
     def three_columns(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         return run(a, b, c)
 
-    return F.arrow_udf((one_column, two_columns, three_columns)[len(cols) - 1], out)(*cols)
+    udf = F.arrow_udf((one_column, two_columns, three_columns)[len(cols) - 1], out)
+    return (udf.asNondeterministic() if once else udf)(*cols)
 
 
-def compress(col: Column | str, codec: str, level: int | None = None, on_error: str = "raise") -> Column:
+def compress(col: Column | str, codec: str, level: int | None = None, on_error: str = "raise", once: bool = False) -> Column:
     kernel, level = codecs.COMPRESS[codec], level_of(codec, level)
-    return _apply((lambda b: kernel(b)) if level is None else (lambda b: kernel(b, level)), [_bytes(col)], on_error=on_error)
+    return _apply((lambda b: kernel(b)) if level is None else (lambda b: kernel(b, level)), [_bytes(col)], on_error=on_error, once=once)
 
 
 def decompress_as(col: Column | str, codec: str, capacity=None, on_error: str = "raise") -> Column:
@@ -193,7 +194,7 @@ def gzip_compress_with_header(col, filename: Column | str | None = None, mtime:
 
 
 def gzip_read_header(col, on_error="raise"):
-    """Struct of filename, mtime, comment, os, extra. Only the first 64 KiB travel, unless the header is longer than that."""
+    """Struct of filename, mtime, comment, os, extra. Nothing is inflated, and of large values only the first 128 KiB travel."""
     b = _bytes(col)
     return _apply(header.read_header, [F.when(F.octet_length(b) <= 1 << 17, b).otherwise(F.substring(b, 1, 1 << 17))], HEADER, on_error)
 

@@ -106,7 +106,7 @@ def compress_responses(df: DataFrame, policy: Policy | None = None, flavor: str
     chosen = F.when(~should_skip(policy) & (F.octet_length(body) >= policy.threshold), wanted)
     varies = {"hono": F.lit(True), "fastify": ~head, "express": ~head & wanted.isNotNull()}[flavor]
     out = df.withColumns({"__wanted": wanted, "__chosen": chosen, "__vary": F.when(varies, append_vary("vary")).otherwise(F.col("vary"))})
-    packed = [cf.compress(F.when(F.col("__chosen") == e, F.col("body").cast("binary")), CODEC[e], policy.level.get(e), "null") for e in policy.encodings]
+    packed = [cf.compress(F.when(F.col("__chosen") == e, F.col("body").cast("binary")), CODEC[e], policy.level.get(e), "null", once=True) for e in policy.encodings]
     out = out.withColumn("__packed", F.coalesce(*packed))
     done = F.col("__packed").isNotNull()
     out = out.withColumns({"body": F.coalesce("__packed", F.col("body").cast("binary")), "content_encoding": F.when(done, F.col("__chosen")).otherwise(F.col("content_encoding")), "vary": F.col("__vary"), "chosen": F.when(done, F.col("__chosen"))})

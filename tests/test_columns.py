@@ -154,6 +154,27 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "lines")).first()[0] == "x"
 
 
+def test_stream_factories(spark):
+    from codecloom.streaming import factories as sf
+
+    rows = [(k, s, bytearray(f"{k}:{s};".encode() * 30)) for k in (1, 2) for s in range(4)] + [(3, 0, None)]
+    df = spark.createDataFrame(rows, "id long, seq long, chunk binary").repartition(3)
+    whole = {k: b"".join(bytes(c) for i, _, c in rows if i == k and c) for k in (1, 2)}
+    trained = dictionary.zstd_train_dictionary(spark.createDataFrame([(f'{{"id":{i},"name":"user {i}"}}',) for i in range(400)], "s string"), "s", 2048)
+    pairs = [(sf.gzip_compress_stream(1), sf.gzip_decompress_stream()), (sf.deflate_compress_stream(), sf.deflate_decompress_stream(10_000)), (sf.zstd_compress_stream(), sf.decompress_stream()),
+             (sf.brotli_compress_stream(4), sf.brotli_decompress_stream()), (sf.lz4_compress_stream(), sf.lz4_decompress_stream()), (sf.zstd_compress_dict_stream(trained), sf.zstd_decompress_dict_stream(trained))]
+    for pack, unpack in pairs:
+        got = {r.id: bytes(r.data) for r in blobs.from_chunks(unpack(pack(df))).collect()}
+        assert {k: v for k, v in got.items() if v} == whole
+    with pytest.raises(ValueError, match="maxOutputSize"):
+        sf.decompress_stream(-1)
+    for make in (sf.brotli_compress_dict_stream, sf.brotli_decompress_dict_stream):
+        with pytest.raises(NotImplementedError):
+            make(b"d")
+    with pytest.raises(Exception, match="exceeded maximum size of 10 bytes"):
+        sf.gzip_decompress_stream(10)(sf.gzip_compress_stream()(df)).collect()
+
+
 @pytest.mark.parametrize("codec, how", [("zstd", "compress"), ("gzip", "compress"), ("brotli", "compress"), ("zstd", "decompress")])
 def test_structured_streaming(spark, tmp_path, codec, how):
     """Chunks come in three files, one per micro-batch; the end row in the last."""
