@@ -32,6 +32,10 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, length, sha (binary), keep_id, group_size, kept."""
     spark = docs.sparkSession
@@ -39,14 +43,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows that repeat id and text are one row with a count from here on
     rows = scratch.write(_narrow(docs, id_col, text_col).groupBy("id", "length", "prefix", "sha").agg(F.count("*").alias("m")), "rows")
     more = F.col("n") > 1
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     lengths = rows.groupBy("length").agg(F.sum("m").alias("n")).where(more).select("length")
-    by_length = rows.join(lengths, "length", "left_semi")
+    by_length = rows.join(_salted(lengths), ["length", "salt"], "left_semi")
     prefixes = by_length.groupBy("length", "prefix").agg(F.sum("m").alias("n")).where(more).select("length", "prefix")
-    by_prefix = by_length.join(prefixes, ["length", "prefix"], "left_semi")
+    by_prefix = by_length.join(_salted(prefixes), ["length", "prefix", "salt"], "left_semi")
     same = by_prefix.groupBy("length", "prefix", "sha").agg(F.sum("m").alias("n"), F.max("id").alias("keep_id")).where(more)
-    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(same, ["length", "prefix", "sha", "salt"], "left").select(
+    joined = rows.join(_salted(same), ["length", "prefix", "sha", "salt"], "left").select(
         "id", "length", "sha", "m",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
