@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows filled with the neighbours that BM25 finds for their seed.
 
 1. Every text is tokenised once, in the scan, and cut: its full windows are sequences of their own, what is left is a fragment. Pieces
-   are written with a shard number, from a hash of their place in that table, so that no document or source makes a shard large.
+   are written; fragments get a shard by a hash of their place in that table, so that no document or source makes a shard large.
 2. Document frequencies of all token ids over all fragments: a vector as long as the vocabulary (a bounded broadcast).
 3. Each shard holds about ``SHARD_TOKENS`` tokens whatever the corpus. A task builds its inverted index (token id to postings with
    BM25 weights) and packs greedily: the seed's rarest terms are looked up, its unused neighbours fill the window best first, those
@@ -35,6 +35,8 @@ SHARD_TOKENS = 1_500_000
 TERMS, NEIGHBOURS = 24, 64
 K1, B = 1.2, 0.75
 END = 1
+#: Sequence numbers of full windows start here; those of shards stay below.
+FULL = 1 << 62
 
 _encoders: dict = {}
 
@@ -191,17 +193,15 @@ def _packer(frequencies, kind, n_docs: int, mean: float, window: int, with_ids:
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         table = table.sort_by("place")
         shard = table.column("shard")[0].as_py()
-        first, size, crc = (table.column(c).to_numpy() for c in ("start", "length", "crc"))
-        whole, part = np.flatnonzero(size == window), np.flatnonzero(size < window)
-        texts = table.column("ids").to_pylist()
-        frags = [np.frombuffer(texts[k], kind).astype(np.uint32) for k in part]
+        first = table.column("start").to_numpy()
+        frags = [np.frombuffer(x, kind).astype(np.uint32) for x in table.column("ids").to_pylist()]
         # row of the table, start, length, sequence, offset, crc, ids
-        out = [(k, first[k], window, number, 0, crc[k], np.frombuffer(texts[k], kind).astype(np.uint32).tobytes() if with_ids else None) for number, k in enumerate(whole)]
-        for number, pieces in enumerate(Shard(frags, idf, mean).windows(window), len(whole)):
+        out = []
+        for number, pieces in enumerate(Shard(frags, idf, mean).windows(window)):
             at = 0
             for d, a, b in pieces:
                 raw = frags[d][a:b].tobytes()
-                out.append((part[d], first[part[d]] + a, b - a, number, at, zlib.crc32(raw), raw if with_ids else None))
+                out.append((d, first[d] + a, b - a, number, at, zlib.crc32(raw), raw if with_ids else None))
                 at += b - a
         row, start, length, seq, offset, sums, ids = zip(*out, strict=True)
         row = pa.array(row, pa.int64())
@@ -212,6 +212,15 @@ def _packer(frequencies, kind, n_docs: int, mean: float, window: int, with_ids:
     return run
 
 
+def _widener(kind, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = [np.frombuffer(x.as_py(), kind).astype(np.uint32).tobytes() for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(wide, pa.binary())], names=names)
+
+    return run
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: dict | None = None, with_ids: bool = True) -> DataFrame:
     """A row per piece: id, start, length, doc_tokens, crc, sequence_id, offset, and ids (little-endian unsigned 32 bit) unless declined."""
     spark = docs.sparkSession
@@ -227,9 +236,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     for term, count in fragments.select("ids").mapInArrow(_frequencies(kind, size), "term long, df long").groupBy("term").agg(F.sum("df")).collect():  # bounded by the vocabulary
         df[term] = count
     shards = max(1, -(-(total or 0) // SHARD_TOKENS))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
+    dealt = fragments.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
     fields = [T.StructField(c, T.LongType()) for c in ("id", "start", "length", "doc_tokens", "crc", "sequence_id", "offset")]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    run = _packer(spark.sparkContext.broadcast(df), kind, n, (total or 1) / max(1, n), window, with_ids, [f.name for f in fields])
-    return dealt.groupBy("shard").applyInArrow(run, T.StructType(fields))
+    names = [f.name for f in fields]
+    run = _packer(spark.sparkContext.broadcast(df), kind, n, (total or 1) / max(1, n), window, with_ids, names)
+    packed = dealt.groupBy("shard").applyInArrow(run, T.StructType(fields))
+    # full windows are not shuffled; their sequences are numbered by place, above all shards' numbers
+    number = (F.lit(FULL).cast("long") + F.col("place")).alias("sequence_id")
+    full = pieces.where(F.col("length") == window).select("id", "start", "length", "doc_tokens", "crc", number, F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
+    if with_ids:
+        full = full.mapInArrow(_widener(kind, names), T.StructType(fields))
+    return full.unionByName(packed)
