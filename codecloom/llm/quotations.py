@@ -74,15 +74,17 @@ def link_quotations(messages: DataFrame, thread_col: str = "conv_id", order_col:
     quoted = base.select("thread", "order", F.explode("passages").alias("p")).select("thread", "order", "p.level", "p.at", F.md5(F.col("p.text").cast("binary")).alias("hash"))
     links = quoted.join(originals, ["thread", "hash"]).where(F.col("original") < F.col("order")).groupBy("thread", "order").agg(F.min_by("original", F.struct("level", "at")).alias("parent"))
     links = scratch.write(links, "links")
-    # pointer doubling: anc is the message 'up' replies above
-    step = scratch.write(links.select("thread", "order", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("up")), "up0")
+    # pointer doubling: anc is the message 'up' replies above; rows that have come to their root take no part in later rounds
+    step = scratch.write(links.select("thread", "order", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("up"), F.lit(False).alias("done")), "up0")
     for k in range(1, 64):
         above = step.select(F.col("thread").alias("t"), F.col("order").alias("o"), F.col("anc").alias("next"), F.col("up").alias("more"))
-        joined = step.join(above, (step["thread"] == above["t"]) & (step["anc"] == above["o"]), "left")
-        new = scratch.write(joined.select("thread", "order", F.coalesce("next", "anc").alias("anc"), (F.col("up") + F.coalesce("more", F.lit(0))).alias("up"), F.col("next").isNotNull().alias("moved")), f"up{k}")
+        open_ = step.where("not done")
+        joined = open_.join(above, (open_["thread"] == above["t"]) & (open_["anc"] == above["o"]), "left")
+        moved = joined.select("thread", "order", F.coalesce("next", "anc").alias("anc"), (F.col("up") + F.coalesce("more", F.lit(0))).alias("up"), F.col("next").isNull().alias("done"))
+        new = scratch.write(moved.unionByName(step.where("done")), f"up{k}")
         scratch.drop(step)
         step = new
-        if not step.where("moved").take(1):
+        if not step.where("not done").take(1):
             break
     tree = links.join(step.select("thread", "order", "anc", "up"), ["thread", "order"]).select(F.col("thread").alias("t"), F.col("order").alias("o"), "parent", "anc", "up")
     out = base.join(tree, (base["thread"] == tree["t"]) & (base["order"] == tree["o"]), "left")
