@@ -36,8 +36,8 @@ from .words import WordHashes, mix64, run_hashes
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Members of a bucket that are compared with as many others in one task; and rows that such a task takes in.
-CHUNK, TASK_ROWS = 256, 8_000
+#: Members of a bucket that are compared with as many others in one task; rows and bytes that such a task takes in, about.
+CHUNK, TASK_ROWS, TASK_BYTES = 256, 8_000, 24_000_000
 _mults = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _A, _B = _mults[:REGISTERS, None], _mults[REGISTERS:, None]
 
@@ -234,12 +234,14 @@ def near_links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str,
     # a bucket whose members are all in one component, or whose members all are its one leader's, is done
     open_ = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("h", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
     rest = rest.join(open_, "h").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    n = rest.agg(F.sum(F.col("chunks"))).first()[0] or 0
-    if not n:
+    # what the members weigh, each as often as it is given out
+    load = rest.join(reps.select("rep", "n"), "rep").agg(F.sum("chunks"), F.sum(F.col("chunks") * (8 * F.col("n") + 2 * REGISTERS))).first()
+    if not load[0]:
         return stars
+    tasks = max(-(-load[0] // TASK_ROWS), -(-load[1] // TASK_BYTES))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
     rest = rest.select("*", other).select("h", "band", "rep", "comp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    rest = rest.join(side, "rep").join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("task", F.pmod(F.xxhash64("h", "i", "j"), F.lit(-(-n // TASK_ROWS))))
+    rest = rest.join(side, "rep").join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("task", F.pmod(F.xxhash64("h", "i", "j"), F.lit(tasks)))
     more = scratch.write(rest.groupBy("task").applyInArrow(_chunk_pairs(percent, ["u", "v"]), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])), "more")
     return stars.unionByName(more.select(F.col("u").cast(kind), F.col("v").cast(kind)))
 

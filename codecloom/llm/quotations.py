@@ -35,10 +35,9 @@ def _level(line: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """Struct of own (text) and quoted: array of (level, text) of the passages in order."""
+    """array of (level, line): each line's quote level, and the line without its marks."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    marked = F.transform(lines, lambda x: F.struct(F.coalesce(_level(x), F.lit(0)).alias("level"), F.regexp_replace(x, MARKS + " ?", "").alias("line")))
-    return marked
+    return F.transform(lines, lambda x: F.struct(F.coalesce(_level(x), F.lit(0)).alias("level"), F.regexp_replace(x, MARKS + " ?", "").alias("line")))
 
 
 def _own(marked: Column) -> Column:
