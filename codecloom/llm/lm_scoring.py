@@ -14,7 +14,7 @@ Learning runs on Spark over all training documents, in passes that each leave a
    the tasks' weights are averaged by their number of decisions, their correction maps are summed.
 
 Scoring is one further pass with the frozen model: a text's score depends on that text and the model alone. The base score needs
-each token's count: the most frequent ``HEAD`` tokens are broadcast, the rest are joined by token, so no token is a hot key.
+each token's count: the most frequent tokens, ``HEAD`` at most, are broadcast, the rest are joined by token, so no token is a hot key.
 
 Results in odd cases: a null text counts as empty: one token, the end mark. Null ids are training documents (the empty string's
 checksum leaves 0). Repeated rows are learned from and scored one by one. Without training documents base counts are 0 and the
@@ -27,6 +27,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +38,21 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 FOLDS, HELD_OUT = 7, 2
-MIX_FOLD = 16
+MIX_FOLD = 32
 #: log2 of the slots per context (2, 4, 6 bytes; word): the model's bound.
-TABLE_BITS = (20, 22, 23, 23)
+TABLE_BITS = (18, 22, 22, 22)
 CHUNK = 1 << 16
 HEAD = 1 << 17
 END = 256
 PAD = 6
 #: Bytes that are worked on at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 GATES, LEVELS, STEP = 18, 65, 0.25
 RATE = 0.3
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_R = np.uint64(0x2545F4914F6CDD1D)
-_R_INV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), (0, 9, 10, 11, 12, 13, 32))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FLUSH = 400_000
 
 
@@ -85,59 +86,48 @@ class Trees:
                     at += len(path)
                 else:
                     todo += [(k, (*path, (n - 257) << 1 | bit)) for bit, k in enumerate(kids[n])]
-        self.steps = np.concatenate(flat).astype(np.int64)
+        self.steps = np.concatenate(flat).astype(np.int16)
+        self.length, self.start = self.length.ravel().astype(np.int32), self.start.ravel().astype(np.int32)
 
 
 class Events:
-    """The decisions of a block of texts: node and bit, gathered hash of each context, and the number per text."""
+    """The decisions of a block of texts: node and bit, slot in each context's table, and where each text's decisions begin."""
 
     def __init__(self, texts: list[bytes], trees: Trees):
-        raw = bytes(PAD) + (bytes(PAD + 1)).join(texts) + b"\0"  # each text, a place for its end, and padding
-        s = np.frombuffer(raw, np.uint8)
-        n = len(s)
+        # eight bytes to look back into, then each text with a place for its end, and padding between texts
+        raw = bytes(8) + bytes(PAD + 1).join(texts) + b"\0"
+        n = len(raw) - 8
+        s = np.frombuffer(raw, np.uint8, n, 8)
         size = np.array([len(t) + 1 for t in texts], np.int64)
-        ends = np.cumsum(size + PAD) - 1
-        sym = s.astype(np.int64)
-        sym[ends] = END
-        keep = np.ones(n, bool)
-        for k in range(PAD):
-            keep[(ends - size - k)] = False
-        at = np.flatnonzero(keep)
-        wide = s.astype(np.uint64)
-        last = np.zeros(n, np.uint64)
-        for k in range(1, PAD + 1):
-            last[k:] |= wide[:-k] << np.uint64(8 * (k - 1))
-        before = (last & np.uint64(255)).astype(np.int64)
-        # the word so far, lower-cased: differences of a running polynomial, reset behind white space and padding
-        space = (s == 32) | ((s >= 9) & (s <= 13)) | (s == 0)
-        low = np.where((s >= 65) & (s <= 90), wide + np.uint64(32), wide)
-        power = np.full(n, _R)
-        power[0] = 1
-        power = np.cumprod(power)
-        back = np.full(n + 1, _R_INV)
-        back[0] = 1
-        back = np.cumprod(back)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum((low + np.uint64(1)) * power, out=run[1:])
-        begin = np.zeros(n, np.int64)
-        begin[1:] = np.maximum.accumulate(np.where(space, np.arange(1, n + 1), 0))[:-1]
-        word = (run[:-1] - run[begin]) * back[begin]
-        contexts = (last & np.uint64(0xFFFF), last & np.uint64(0xFFFFFFFF), last, word ^ (last & np.uint64(255)) << np.uint64(56))
-        many = trees.length[before[at], sym[at]]
+        ends = np.cumsum(size + PAD) - PAD - 1
+        past = np.ndarray((n,), "<u8", raw, 0, (1,)).copy()  # the eight bytes before each place, the last one on top
+        folded = np.ndarray((n,), "<u8", raw.translate(_LOWER), 0, (1,))
+        pair = (past >> np.uint64(56)).astype(np.int32) * 257 + s
+        pair[ends] += END  # these bytes are 0
+        many = trees.length.take(pair)
+        many[(ends[:-1, None] + 1 + np.arange(PAD)).ravel()] = 0
+        # the word so far: its last eight bytes and its length
+        place = np.arange(1, n + 1, dtype=np.int32)
+        begin = np.zeros(n, np.int32)
+        np.maximum.accumulate(np.where(_SPACE[s[:-1]], place[:-1], 0), out=begin[1:])
+        run = place - 1 - begin
+        word = folded >> (np.uint64(64) - (np.minimum(run, 8) << 3).astype(np.uint64))
+        word = (word + np.minimum(run, 24).astype(np.uint64) * _M[3]) ^ (past >> np.uint64(56))
         total = np.cumsum(many)
-        first = total - many
-        path = np.repeat(trees.start[before[at], sym[at]] - first, many) + np.arange(int(total[-1]) if len(total) else 0)
-        self.step = trees.steps[path]
-        salt = ((self.step >> 1) + 1).astype(np.uint64) * _M[3]
+        path = np.repeat(trees.start.take(pair) - (total - many), many)
+        path += np.arange(len(path), dtype=path.dtype)
+        step = trees.steps.take(path)
+        salt = (step >> 1).astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B)
         self.slots = []
-        for c, bits, m in zip(contexts, TABLE_BITS, _M, strict=True):
-            mixed = (c[at] + np.uint64(1)) * m
-            mixed ^= mixed >> np.uint64(29)
-            h = (np.repeat(mixed, many) + salt) * _M[0]
-            self.slots.append((h >> np.uint64(64 - bits)).astype(np.int64))
-        self.bit = self.step & 1
-        where = np.concatenate([[0], np.cumsum(size)])
-        self.of_text = np.concatenate([[0], total])[where]  # decisions before each text
+        for c, bits, m in zip((past >> np.uint64(48), past >> np.uint64(32), past >> np.uint64(16), word), TABLE_BITS, _M, strict=True):
+            h = np.repeat(((c + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32), many)
+            h += salt
+            h *= np.uint32(0x9E3779B1)
+            h >>= np.uint32(32 - bits)
+            self.slots.append(h)
+        self.bit = step & 1
+        starts = ends - size + 1
+        self.of_text = total[starts] - many[starts]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -165,13 +155,16 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words.clear()
         return rec
 
-    for b in batches:
-        for t in b.column(0):
-            raw = (t.as_py() or "").encode()
+    for _, texts in _blocks(batches, 0):
+        for raw in texts:
             words.update(raw.lower().split())
-            words[b""] += 1
-            s = np.frombuffer(b"\0" + raw, np.uint8).astype(np.int64)
-            pairs += np.bincount(s * 257 + np.append(s[1:], END), minlength=256 * 257)
+        words[b""] += len(texts)
+        # every byte and end after the byte before it; a text begins behind a 0
+        s = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
+        pair = s[:-1].astype(np.int32) * 257 + s[1:]
+        ends = np.cumsum(np.array([len(t) + 1 for t in texts])) - 1
+        pair[ends] += END
+        pairs += np.bincount(pair, minlength=256 * 257)
         if len(words) > _FLUSH:
             yield out()
     for k in np.flatnonzero(pairs):
@@ -189,8 +182,9 @@ def _chunk_counter(trees):
         for _, texts in _blocks(batches, 0):
             some = True
             ev = Events(texts, trees.value)
+            bit = ev.bit.astype(np.intp)
             for table, slot in zip(tables, ev.slots, strict=True):
-                np.add.at(table, slot * 2 + ev.bit, np.uint32(1))
+                np.add.at(table, slot.astype(np.intp) * 2 + bit, np.uint32(1))
         if some:
             task = TaskContext.get().partitionId()
             press = zstandard.ZstdCompressor(1)
@@ -226,7 +220,8 @@ def _stretch(table: pa.Table) -> pa.Table:
 
 
 #: Sureness of a signed byte: 0 never seen or balanced, 1 seen about once, 2 more.
-_SURE = np.array([0 if abs(x) < 6 else 1 if abs(x) < 22 else 2 for x in np.arange(256).astype(np.uint8).view(np.int8).astype(int)], np.int64)
+_SURE = np.array([0 if abs(x) < 6 else 1 if abs(x) < 22 else 2 for x in np.arange(256).astype(np.uint8).view(np.int8).astype(int)], np.int16)
+_SURE3, _SEEN9 = _SURE * 3, (_SURE > 0).astype(np.int16) * 9
 
 
 class Model:
@@ -239,26 +234,33 @@ class Model:
 
     def inputs(self, ev: Events) -> tuple[np.ndarray, list[np.ndarray]]:
         """Gate and the four predictions of each decision."""
-        got = [t[s] for t, s in zip(self.tables, ev.slots, strict=True)]
-        sure = _SURE[got[1].view(np.uint8)] * 3 + _SURE[got[3].view(np.uint8)]
-        return sure + 9 * (np.abs(got[2]) >= 6), got
+        got = [t.take(s) for t, s in zip(self.tables, ev.slots, strict=True)]
+        gate = _SURE3.take(got[1].view(np.uint8))
+        gate += _SURE.take(got[3].view(np.uint8))
+        gate += _SEEN9.take(got[2].view(np.uint8))
+        return gate, got
 
     def level(self, gate: np.ndarray, got: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
         """gate and quantised mixed logit as one number."""
-        w = (weights / (16 * STEP)).astype(np.float32)
-        z = w[gate, 0] * got[0]
-        for k in range(1, 4):
-            z += w[gate, k] * got[k]
         half = LEVELS // 2
+        z = None
+        for k in range(4):
+            term = np.ascontiguousarray(weights[:, k] / (16 * STEP), np.float32).take(gate)
+            term *= got[k]
+            z = term if z is None else np.add(z, term, out=z)
         np.clip(z, -half, half, out=z)
-        return gate * LEVELS + np.rint(z).astype(np.int64) + half
+        z += half + 0.5  # not negative, so that cutting rounds
+        level = z.astype(np.int16)
+        level += gate * np.int16(LEVELS)
+        return level
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability."""
         ev = Events(texts, self.trees)
-        cost = self.costs[self.level(*self.inputs(ev), self.weights) * 2 + ev.bit]
-        run = np.concatenate([[0.0], cost])
-        return np.add.reduceat(run[1:], ev.of_text[:-1]) if len(cost) else np.zeros(len(texts))
+        key = self.level(*self.inputs(ev), self.weights)
+        key += key
+        key += ev.bit
+        return np.add.reduceat(self.costs.take(key), ev.of_text)
 
 
 def _mixer(model):
@@ -279,7 +281,7 @@ def _mixer(model):
                 n = np.maximum(np.bincount(g, minlength=GATES), 1)[:, None]
                 grad = np.stack([np.bincount(g, err * xs[:, k], minlength=GATES) for k in range(4)], axis=1) / n
                 w += RATE * np.minimum(n / 64, 1) * grad
-            hist += np.bincount(m.level(gate, got, w) * 2 + ev.bit, minlength=len(hist))
+            hist += np.bincount(m.level(gate, got, w).astype(np.int64) * 2 + ev.bit, minlength=len(hist))
             seen += len(gate)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(GATES * 4 + len(hist))), pa.array(np.concatenate([w.ravel() * seen, hist.astype(np.float64)])), pa.array([float(seen)] * (GATES * 4 + len(hist)))], names=["k", "total", "seen"]
@@ -299,13 +301,19 @@ def _costs(hist: np.ndarray) -> np.ndarray:
     return np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], axis=1).ravel() / math.log(10)
 
 
+class _Known(dict):
+    """Counts of the frequent tokens; 0 for any other."""
+
+    def __missing__(self, token: bytes) -> int:
+        return 0
+
+
 def _scorer(model, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m: Model = model.value
-        known: dict[bytes, int] = head.value
-        log = [math.log10(c + 1) for c in range(1 << 16)]
+        known = _Known(head.value)
         place = TaskContext.get().partitionId() << 33
         for b, texts in _blocks(batches, 2):
             score = m.scores(texts)
@@ -313,16 +321,13 @@ def _scorer(model, head):
             for raw in texts:
                 words = raw.lower().split()
                 words.append(b"")
-                total, found, tail = 0.0, 0, []
-                for w, tf in Counter(words).items():
-                    c = known.get(w)
-                    if c is None:
-                        tail.append((w, tf))
-                    else:
-                        total += tf * (log[c] if c < 65536 else math.log10(c + 1))
-                        found += tf
-                n_tokens.append(len(words)), base.append(total), hits.append(found)
-                tails.append([w for w, _ in tail]), tfs.append([n for _, n in tail])
+                c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                rare = c == 0
+                n_rare = int(np.count_nonzero(rare))
+                tail = Counter(compress(words, rare.tolist())) if n_rare else {}
+                n_tokens.append(len(words)), hits.append(len(words) - n_rare)
+                base.append(float(np.log10(c + 1).sum()))  # 0 for the rare
+                tails.append(list(tail)), tfs.append(list(tail.values()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(place, place + len(texts)), pa.int64()), b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
@@ -356,7 +361,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     trees = Trees(pairs.reshape(256, 257))
     vocabulary = counted.where(~pair)
     n_train, n_distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["token"]): r["c"] for r in vocabulary.orderBy(F.col("c").desc(), "token").limit(HEAD).collect()}  # at most HEAD rows
+    # counts by eighths of a power of two: a few hundred rows tell from which count on there are at most HEAD tokens
+    eighth = F.floor(F.log2("c") * 8)
+    many, least = 0, 1 << 62
+    for e, k in sorted(((r[0], r[1]) for r in vocabulary.groupBy(eighth).count().collect()), reverse=True):
+        many += k
+        if many > HEAD:
+            break
+        least = e
+    head = {bytes(r["token"]): r["c"] for r in vocabulary.where(eighth >= least).collect()}  # at most HEAD rows
 
     sent = train.where(~mixing).select("text").mapInArrow(_chunk_counter(sc.broadcast(trees)), "chunk long, task long, counts binary")
     some = sent.groupBy("chunk", F.floor(F.col("task") / 128).alias("g")).applyInArrow(_add_chunks, "chunk long, task long, counts binary")
