@@ -2,7 +2,7 @@
 
 A byte (or the end of the text) is spelled as a path in a binary tree chosen by the byte before it (a Huffman tree of the training
 counts), so that few decisions are left per byte. Each decision is predicted in four hashed contexts: the last 2, 4 and 6 bytes,
-and the part of the word read so far. A gate (how sure the two longest contexts are) selects the weights that mix the four
+and the whole word read so far (lower-cased). A gate (how sure the two longest contexts are) selects the weights that mix the four
 predictions in the logistic domain, and an adaptive map per gate corrects the mixed probability.
 
 Learning runs on Spark over all training documents, in passes that each leave a written table:
@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 FOLDS, HELD_OUT = 7, 2
-MIX_FOLD = 32
+MIX_FOLD = 16
 #: log2 of the slots per context (2, 4, 6 bytes; word): the model's bound.
-TABLE_BITS = (18, 22, 22, 22)
+TABLE_BITS = (20, 22, 23, 23)
 CHUNK = 1 << 16
 HEAD = 1 << 17
 END = 256
@@ -51,6 +51,9 @@ GATES, LEVELS, STEP = 18, 65, 0.25
 RATE = 0.3
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_R = np.uint64(0x2545F4914F6CDD1D)
+_R_INV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
+_powers: list[np.ndarray] = []
 _SPACE = np.isin(np.arange(256), (0, 9, 10, 11, 12, 13, 32))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FLUSH = 400_000
@@ -90,6 +93,20 @@ class Trees:
         self.length, self.start = self.length.ravel().astype(np.int32), self.start.ravel().astype(np.int32)
 
 
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the word hash's base, and of its inverse; those that a block needs are kept."""
+    if not _powers or len(_powers[0]) < n:
+        made = []
+        for base in (_R, _R_INV):
+            p = np.full(max(n, 2 * BLOCK), base)
+            p[0] = 1
+            made.append(np.cumprod(p))
+        if n > 2 * BLOCK:
+            return made[0][:n], made[1][:n]
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
 class Events:
     """The decisions of a block of texts: node and bit, slot in each context's table, and where each text's decisions begin."""
 
@@ -101,18 +118,19 @@ class Events:
         size = np.array([len(t) + 1 for t in texts], np.int64)
         ends = np.cumsum(size + PAD) - PAD - 1
         past = np.ndarray((n,), "<u8", raw, 0, (1,)).copy()  # the eight bytes before each place, the last one on top
-        folded = np.ndarray((n,), "<u8", raw.translate(_LOWER), 0, (1,))
         pair = (past >> np.uint64(56)).astype(np.int32) * 257 + s
         pair[ends] += END  # these bytes are 0
         many = trees.length.take(pair)
         many[(ends[:-1, None] + 1 + np.arange(PAD)).ravel()] = 0
-        # the word so far: its last eight bytes and its length
+        # the whole word so far, lower-cased: differences of a running polynomial
         place = np.arange(1, n + 1, dtype=np.int32)
         begin = np.zeros(n, np.int32)
         np.maximum.accumulate(np.where(_SPACE[s[:-1]], place[:-1], 0), out=begin[1:])
-        run = place - 1 - begin
-        word = folded >> (np.uint64(64) - (np.minimum(run, 8) << 3).astype(np.uint64))
-        word = (word + np.minimum(run, 24).astype(np.uint64) * _M[3]) ^ (past >> np.uint64(56))
+        power, back = _powers_of(n)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum((np.frombuffer(raw.translate(_LOWER), np.uint8, n, 8) + np.uint64(1)) * power, out=run[1:])
+        word = (run[:-1] - run.take(begin)) * back.take(begin)
+        word ^= past >> np.uint64(56) << np.uint64(56)
         total = np.cumsum(many)
         path = np.repeat(trees.start.take(pair) - (total - many), many)
         path += np.arange(len(path), dtype=path.dtype)

@@ -139,6 +139,15 @@ def test_scores_do_not_depend_on_the_batch():
     assert model.scores(texts) == pytest.approx([model.scores([t])[0] for t in texts])
 
 
+def test_scores_tell_whole_words_apart():
+    """Words that share their length and last eight bytes are contexts of their own."""
+    trees = lm_scoring.Trees(np.ones((256, 257)))
+    one, two, folded = (lm_scoring.Events([t], trees) for t in (b"in abcdefgh12345678x", b"in hgfedcba12345678x", b"in ABCDEFGH12345678x"))
+    at = trees.length[ord("x") * 257 + lm_scoring.END] + 1  # a decision within the last byte
+    assert one.slots[3][-at] != two.slots[3][-at] and one.slots[3][-at] == folded.slots[3][-at]
+    assert one.slots[2][-at] == two.slots[2][-at]
+
+
 def test_scores_odd_rows(docs, rows, empty):
     got = lm_scoring.score_texts(docs).collect()
     assert len(got) == len(rows)
