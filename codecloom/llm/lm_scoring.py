@@ -10,8 +10,9 @@ Learning runs on Spark over all training documents, in passes that each leave a
 1. Counts of tokens (for the base score) and of byte pairs (for the trees): partial counts per task, then an aggregation.
 2. Counts of decisions per hashed slot: each task sums its documents into fixed tables and sends them in compressed chunks; chunks add
    up in two levels. What is sent grows with the corpus, the summed model is bounded by ``TABLE_BITS``.
-3. One of ``MIX_FOLD`` training documents is kept out of those counts and trains the mixing instead, online in small steps, per task;
-   the tasks' weights are averaged by their number of decisions, their correction maps are summed.
+3. One of ``MIX_FOLD`` training documents is kept out of those counts at first and trains the mixing, online in small steps, per task;
+   the tasks' weights are averaged by their number of decisions, their correction maps are summed. Then those documents are counted
+   too, so that the frozen tables cover all training documents.
 
 Scoring is one further pass with the frozen model: a text's score depends on that text and the model alone. The base score needs
 each token's count: the most frequent tokens, ``HEAD`` at most, are broadcast, the rest are joined by token, so no token is a hot key.
@@ -361,6 +362,25 @@ def _scorer(model, head):
 _SCORED = ["place", "id", "held_out", "n_tokens", "hits", "base", "score", "tail", "tf"]
 
 
+_SENT = "chunk long, task long, counts binary"
+
+
+def _added(sent: DataFrame) -> DataFrame:
+    """The chunks of up to 128 tasks as one."""
+    return sent.groupBy("chunk", F.floor(F.col("task") / 128).alias("g")).applyInArrow(_add_chunks, _SENT)
+
+
+def _predictions(sums: DataFrame, scratch: Scratch, name: str) -> list[np.ndarray]:
+    """The tables of predictions that the sums of all chunks give."""
+    tables = [np.zeros(1 << bits, np.int8) for bits in TABLE_BITS]
+    logits = scratch.write(sums.groupBy("chunk").applyInArrow(_stretch, "chunk long, logit binary"), name)
+    for chunk, logit in logits.toLocalIterator():  # bounded by TABLE_BITS
+        at = (chunk & 0xFFFF) * CHUNK
+        tables[chunk >> 16][at : at + CHUNK] = np.frombuffer(logit, np.int8)
+    scratch.drop(logits)
+    return tables
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits (the same as total bits)."""
     spark = docs.sparkSession
@@ -389,13 +409,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         least = e
     head = {bytes(r["token"]): r["c"] for r in vocabulary.where(eighth >= least).collect()}  # at most HEAD rows
 
-    sent = train.where(~mixing).select("text").mapInArrow(_chunk_counter(sc.broadcast(trees)), "chunk long, task long, counts binary")
-    some = sent.groupBy("chunk", F.floor(F.col("task") / 128).alias("g")).applyInArrow(_add_chunks, "chunk long, task long, counts binary")
-    tables = [np.zeros(1 << bits, np.int8) for bits in TABLE_BITS]
-    logits = scratch.write(some.groupBy("chunk").applyInArrow(_stretch, "chunk long, logit binary"), "logits")
-    for chunk, logit in logits.toLocalIterator():  # bounded by TABLE_BITS
-        at = (chunk & 0xFFFF) * CHUNK
-        tables[chunk >> 16][at : at + CHUNK] = np.frombuffer(logit, np.int8)
+    shared = sc.broadcast(trees)
+    counting = _chunk_counter(shared)
+    some = scratch.write(_added(train.where(~mixing).select("text").mapInArrow(counting, _SENT)), "sums")
+    tables = _predictions(some, scratch, "logits0")
 
     first = sc.broadcast(Model(trees, tables))
     mixed = train.where(mixing).select("text").mapInArrow(_mixer(first), "k long, total double, seen double").groupBy("k").agg(F.sum("total").alias("t"), F.sum("seen").alias("s")).collect()
@@ -403,8 +420,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for k, t, s in mixed:
         flat[k], seen = t, s
     weights = flat[: GATES * 4].reshape(GATES, 4) / seen if seen else None
-    model = Model(trees, tables, weights, _costs(flat[GATES * 4 :]))
     first.unpersist()
+    # the weights are fitted: now the documents that fitted them join the counts
+    rest = scratch.write(_added(train.where(mixing).select("text").mapInArrow(counting, _SENT)), "rest")
+    model = Model(trees, _predictions(some.unionByName(rest), scratch, "logits"), weights, _costs(flat[GATES * 4 :]))
+    scratch.drop(some, rest)
 
     parts = T.StructType(
         [T.StructField("place", T.LongType()), plain.schema["id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "hits"))]

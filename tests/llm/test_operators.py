@@ -148,6 +148,19 @@ def test_scores_tell_whole_words_apart():
     assert one.slots[2][-at] == two.slots[2][-at]
 
 
+def test_scores_count_the_mixing_documents(spark, monkeypatch):
+    """Documents that train the mixing are in the tables when texts are scored."""
+    docs = spark.createDataFrame([(k, f"{BASE} {k}") for k in range(60)], "doc_id long, text string")
+
+    def total():
+        return sum(r.bits for r in lm_scoring.score_texts(docs).collect())
+
+    monkeypatch.setattr(lm_scoring, "MIX_FOLD", 1 << 40)
+    counted = total()
+    monkeypatch.setattr(lm_scoring, "MIX_FOLD", 1)
+    assert total() < 1.5 * counted
+
+
 def test_scores_odd_rows(docs, rows, empty):
     got = lm_scoring.score_texts(docs).collect()
     assert len(got) == len(rows)
