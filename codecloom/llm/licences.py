@@ -1,13 +1,16 @@
-"""Licence scans in DataFrame operations only: normalised lines against templates by the Dice coefficient of word bigrams.
+"""Licence scans in DataFrame operations only: normalised lines and windows against templates by the Dice coefficient of word bigrams.
 
-A text's units are its lines and, where a paragraph has several lines, the paragraph. A unit is lower-cased and reduced to words of letters
+A text's units are its lines and, where a paragraph has several lines, the paragraph. Notices within longer lines or paragraphs, or wrapped
+in comment blocks, are found by windows over the words of the whole text, which know no lines and no comment marks: a template that no unit
+matches is looked for in the windows that begin and end with one of its bigrams (others only lose by what stands outside) and whose length is
+within the bounds below, if the text shares enough bigrams with it at all. A unit is lower-cased and reduced to words of letters
 and digits; its distinct bigrams are compared with a template's only if the sizes allow the threshold at all: with ``a`` and ``b``
 bigrams Dice is at most ``2 min(a, b) / (a + b)``. By the same bound a match shares so many of a template's bigrams that it must hold one
 of any set that leaves fewer out; so a few key words, chosen from the templates, occur in every text and unit that can match, and
 all others are dropped before they are split. Templates are a small fixed list inside the expression: nothing is joined and no key can be hot.
 
 Results in odd cases: null and empty texts, and units of fewer than two words, match nothing. Of several units matching one template in a
-document the best counts, equals by the first line. Repeated rows are reported each. An empty table gives no rows. Extra columns are
+document the best counts, equals by the first line; windows count only without any such unit, the best one, equals by the first. Repeated rows are reported each. An empty table gives no rows. Extra columns are
 ignored.
 """
 
@@ -84,12 +87,14 @@ def _template_rows(threshold: float) -> Column:
     for name, text in TEMPLATES.items():
         w = words_of(text)
         grams = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-        rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")))
+        n, ratio = len(grams), threshold / (2 - threshold)
+        bounds = [F.lit(math.ceil(n * ratio - 1e-9)).alias("least"), F.lit(math.floor(n / ratio + 1e-9)).alias("most")]
+        rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(n).alias("n"), *bounds))
     return F.array(*rows)
 
 
 def _units(text: Column) -> Column:
-    """(line, normalised words) of each line, and of each paragraph of several lines at its first line."""
+    """(line, text) of each line, of each paragraph of several lines at its first line, and of the whole text at line -1."""
     lines = F.split(text, "\n")
     single = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("line"), x.alias("unit")))
     blocks = F.split(text, r"\n[ \t\r]*\n")
@@ -100,7 +105,36 @@ def _units(text: Column) -> Column:
         return (F.length(before) - F.length(F.regexp_replace(before, "\n", ""))).cast("long")
 
     several = F.transform(long_blocks, lambda b: F.struct(line_of(b).alias("line"), b.alias("unit")))
-    return F.concat(single, several)
+    return F.concat(single, several, F.array(F.struct(F.lit(-1).cast("long").alias("line"), text.alias("unit"))))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def _dice(grams: Column, x: Column) -> Column:
+    """Of distinct bigrams and a template."""
+    return 2 * F.size(F.array_intersect(grams, x["grams"])) / (x["n"] + F.size(grams))
+
+
+def _best_window(grams: Column, x: Column) -> Column:
+    """(dice, minus the first word's place) of the best window of a text's bigrams for a template, equals by the first; null without any."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(x["grams"], F.get(grams, i)))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(grams, i + 1, x["most"]).alias("seg")))
+    cut = F.filter(cut, lambda c: F.size(F.array_intersect(c["seg"], x["grams"])) >= x["least"])
+
+    def of(c: Column) -> Column:
+        ends = F.filter(F.sequence(x["least"], F.size(c["seg"])), lambda e: F.array_contains(x["grams"], F.get(c["seg"], e - 1)))
+        return F.transform(ends, lambda e: F.struct(_dice(F.array_distinct(F.slice(c["seg"], 1, e)), x).alias("dice"), (-c["at"]).alias("before")))
+
+    return F.array_max(F.flatten(F.transform(cut, of)))
+
+
+def _line_of_word(text: Column, place: Column) -> Column:
+    """The line, from 0, that holds a text's word of that number: as many lines end before it."""
+    counts = F.transform(F.split(text, "\n"), lambda x: F.size(F.filter(_words(x), lambda w: w != "")))
+    zero = F.struct(F.lit(0).alias("seen"), F.lit(0).cast("long").alias("line"))
+    return F.aggregate(counts, zero, lambda a, c: F.struct((a["seen"] + c).alias("seen"), (a["line"] + F.when(a["seen"] + c <= place, 1).otherwise(0)).alias("line")))["line"]
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -112,14 +146,22 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.where(F.lower("text").rlike(keys))
     units = rows.select("id", "row", F.explode(_units(F.col("text"))).alias("u")).where(F.lower("u.unit").rlike(keys))
     # a unit has at least as many words as bigrams and one; far longer ones cannot come down to a template's size unless they repeat
-    clean = F.split(F.trim(F.regexp_replace(F.lower("u.unit"), "[^a-z0-9]+", " ")), " ")
     # explode of one element keeps Spark from writing the expression out at each use
     once = lambda c: F.explode(F.array(c))
-    units = units.where(F.length("u.unit") >= int(low)).select("id", "row", "u.line", once(clean).alias("w")).where(F.size("w") > int(low))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i))))
-    units = units.select("id", "row", "line", once(grams).alias("g")).where(F.size("g").between(low, high))
+    whole = F.col("line") < 0
+    text = F.when(F.col("u.line") < 0, F.col("u.unit")).alias("whole_text")
+    units = units.where(F.length("u.unit") >= int(low)).select("id", "row", "u.line", text, once(_words(F.col("u.unit"))).alias("w")).where(F.size("w") > int(low))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    units = units.select("id", "row", "line", "whole_text", once(grams).alias("all"))
+    units = units.select("id", "row", "line", "whole_text", F.when(whole, F.col("all")).alias("all"), once(F.array_distinct("all")).alias("g")).where(whole | F.size("g").between(low, high))
     t = threshold
-    fits = F.filter(_template_rows(t), lambda x: (2 * F.least(x["n"], F.size("g"))) >= t * (x["n"] + F.size("g")))
-    scored = F.transform(fits, lambda x: F.struct(x["name"].alias("licence"), (2 * F.size(F.array_intersect(x["grams"], F.col("g"))) / (x["n"] + F.size("g"))).alias("dice")))
-    hits = units.select("id", "row", "line", F.explode(scored).alias("s")).where(F.col("s.dice") >= t).select("id", "row", "line", "s.licence", "s.dice")
-    return hits.groupBy("row", "licence").agg(F.first("id").alias("id"), F.max_by(F.struct("line", "dice"), F.struct("dice", -F.col("line"))).alias("b")).select("id", "licence", "b.line", "b.dice")
+    fits = F.filter(
+        _template_rows(t),
+        lambda x: F.when(whole, F.size(F.array_intersect(F.col("g"), x["grams"])) >= x["least"]).otherwise((2 * F.least(x["n"], F.size("g"))) >= t * (x["n"] + F.size("g"))),
+    )
+    pairs = units.select("id", "row", "line", "whole_text", "all", "g", F.explode(fits).alias("x"))
+    found = F.when(whole, _best_window(F.col("all"), F.col("x"))).otherwise(F.struct(_dice(F.col("g"), F.col("x")).alias("dice"), F.lit(0).alias("before")))
+    hits = pairs.select("id", "row", "line", "whole_text", F.col("x.name").alias("licence"), once(found).alias("s")).where(F.col("s.dice") >= t)
+    # a unit's line counts before any window
+    hits = hits.select("id", "row", "licence", "s.dice", F.when(whole, 0).otherwise(1).alias("unit"), F.when(whole, _line_of_word(F.col("whole_text"), -F.col("s.before"))).otherwise(F.col("line")).alias("line"))
+    return hits.groupBy("row", "licence").agg(F.first("id").alias("id"), F.max_by(F.struct("line", "dice"), F.struct("unit", "dice", -F.col("line"))).alias("b")).select("id", "licence", "b.line", "b.dice")

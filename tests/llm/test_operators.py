@@ -442,6 +442,31 @@ def test_licences(spark, docs, empty):
     assert licences.scan_licences(docs).count() == 0 and licences.scan_licences(empty).count() == 0
 
 
+def test_licences_within_longer_text(spark):
+    """Notices inside a line, and wrapped in a comment block whose blank lines carry marks; windows against all windows."""
+    words = licences.TEMPLATES["mit-permission"].split(" ")
+    wrapped = "\n".join("# " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    texts = [
+        "first\n(c) 2020 Foo. Released under the MIT License. See LICENSE for details.",
+        "#!/bin/sh\n# Copyright (c) 2020 Foo and many others who wrote this file over the years\n#\n" + wrapped + "\n#\n# " + " ".join(f"other{k} words" for k in range(60)),
+        "Released under the licence that MIT has, not the License.",
+    ]
+    got = {(r.id, r.licence): (r.line, r.dice) for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        w, lines = [], []
+        for k, line in enumerate(text.split("\n")):
+            w += (own := licences.words_of(line))
+            lines += [k] * len(own)
+        for name, template in licences.TEMPLATES.items():
+            t = licences._grams(template)
+            best = max(((2 * len((g := set(zip(w[a:b], w[a + 1 : b], strict=False))) & t) / (len(g) + len(t)), -a) for a in range(len(w)) for b in range(a + 2, min(len(w), a + 2 * len(t)) + 1)), default=(0, 0))
+            if best[0] >= licences.THRESHOLD:
+                want[i, name] = (lines[-best[1]], best[0])
+    assert {(0, "mit"), (1, "mit-permission")} <= set(want) and got == want
+    assert got[0, "mit"] == (1, 1.0) and got[1, "mit-permission"] == (3, 1.0)
+
+
 def test_licence_key_words_lose_nothing():
     """Any unit at the threshold holds a key word: checked for every template with its key-word bigrams taken out."""
     keys = licences.key_words(licences.THRESHOLD)
