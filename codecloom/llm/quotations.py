@@ -4,19 +4,21 @@
    passages; lines of level 0, without the attribution line ("... wrote:") that announces a quotation, are the message's own text.
 2. Passages and own texts are normalised (quote marks off, lower case, runs of white space to one blank) and hashed.
 3. Of the messages of a thread with one hash the earliest is the original: one row per thread and hash, so that a text that many
-   messages share joins each passage once. A message replies to the original of its first passage of the lowest level that has one.
+   messages share joins each passage once. A passage that is no earlier message's whole text is taken apart into paragraphs and lines,
+   which are joined to the paragraphs and lines of own texts in the same way: its first paragraph that has an original counts, or else
+   its first line. A message replies to the original of its first passage of the lowest level that has one.
 4. Depth and root of the reply trees by pointer doubling, each round a written table. Within a thread, messages are ordered by root,
-   then time: every message stands behind the one it answers.
+   then time: every message stands behind the one it answers, and ``position`` counts from 1 in the root's conversation.
 
 Thread and order identify a message. Results in odd cases: null or empty texts have no passages and an empty own text, and nothing links to
-them. A quotation of nothing in its thread, or only of later messages, links to nothing. Messages repeated with one thread and order are
+them. A quotation of nothing in its thread, of only a part of a line, or only of later messages, links to nothing. Messages repeated with one thread and order are
 rows of their own with the same links. Rows with a null thread or order link to nothing. An empty table gives no rows. Extra columns
 pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -57,21 +59,45 @@ def _passages(marked: Column) -> Column:
 
     def run(s: Column) -> Column:
         end = F.get(F.filter(breaks, lambda e: e > s), F.lit(0))
-        return F.struct(F.get(marked, s)["level"].alias("level"), s.alias("at"), normalised(F.array_join(F.transform(F.slice(marked, s + 1, end - s), lambda x: x["line"]), " ")).alias("text"))
+        return F.struct(F.get(marked, s)["level"].alias("level"), s.alias("at"), F.array_join(F.transform(F.slice(marked, s + 1, end - s), lambda x: x["line"]), "\n").alias("text"))
 
-    return F.filter(F.transform(starts, run), lambda p: p["text"] != "")
+    return F.filter(F.transform(starts, run), lambda p: p["text"].rlike(r"\S"))
+
+
+def _hash(text: Column) -> Column:
+    return F.md5(normalised(text).cast("binary"))
+
+
+def _pieces(text: Column) -> Column:
+    """(kind, at, hash) of each paragraph (kind 1) and each line (kind 2) that holds anything."""
+    def cut(by: str, kind: int) -> Column:
+        parts = F.transform(F.split(text, by), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.when(x.rlike(r"\S"), _hash(x)).alias("hash")))
+        return F.filter(parts, lambda x: x["hash"].isNotNull())
+
+    return F.concat(cut(r"\n[ \t\r]*\n", 1), cut("\n", 2))
 
 
 def link_quotations(messages: DataFrame, thread_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """The messages with all their columns, and own_text, n_quotes, max_level, parent_order, root_order, depth."""
+    """The messages with all their columns, and own_text, n_quotes, max_level, parent_order, root_order, depth, position."""
     spark = messages.sparkSession
     scratch = Scratch(spark, "quotes")
     base = messages.select(F.struct(*[messages[c] for c in messages.columns]).alias("row"), messages[thread_col].alias("thread"), messages[order_col].alias("order"), parsed(messages[text_col].cast("string")).alias("marked"))
     base = base.select("row", "thread", "order", _own(F.col("marked")).alias("own_text"), F.when(F.exists("marked", lambda x: x["level"] > 0), _passages(F.col("marked"))).otherwise(F.expr("array()")).alias("passages"))
     base = scratch.write(base.withColumn("passages", F.col("passages").cast("array<struct<level:int,at:int,text:string>>")), "messages")
-    originals = base.where("own_text <> ''").select("thread", F.md5(normalised(F.col("own_text")).cast("binary")).alias("hash"), "order").groupBy("thread", "hash").agg(F.min("order").alias("original"))
-    quoted = base.select("thread", "order", F.explode("passages").alias("p")).select("thread", "order", "p.level", "p.at", F.md5(F.col("p.text").cast("binary")).alias("hash"))
-    links = quoted.join(originals, ["thread", "hash"]).where(F.col("original") < F.col("order")).groupBy("thread", "order").agg(F.min_by("original", F.struct("level", "at")).alias("parent"))
+    originals = base.where("own_text <> ''").select("thread", _hash(F.col("own_text")).alias("hash"), "order").groupBy("thread", "hash").agg(F.min("order").alias("original"))
+    quoted = base.select("thread", "order", F.explode("passages").alias("p")).select("thread", "order", "p.level", "p.at", "p.text", _hash(F.col("p.text")).alias("hash"))
+    early = F.when(F.col("original") < F.col("order"), F.col("original"))
+    whole = quoted.join(originals, ["thread", "hash"], "left").select("thread", "order", "level", "at", early.alias("original"), F.when(early.isNull(), F.col("text")).alias("text"))
+    whole = scratch.write(whole, "whole")
+    # passages that are no whole text, and the paragraphs and lines of own texts in their threads
+    rest = whole.where(F.col("original").isNull() & F.col("thread").isNotNull())
+    own = base.where("own_text <> ''").join(rest.select("thread").distinct(), "thread", "left_semi")
+    own = own.select("thread", "order", F.explode(_pieces(F.col("own_text"))).alias("q")).groupBy("thread", "q.kind", "q.hash").agg(F.min("order").alias("original"))
+    parts = rest.select("thread", "order", "level", "at", F.explode(_pieces(F.col("text"))).alias("q")).select("thread", "order", "level", "at", "q.kind", "q.place", "q.hash")
+    parts = parts.join(own, ["thread", "kind", "hash"]).where(F.col("original") < F.col("order")).select("thread", "order", "level", "at", "kind", "place", "original")
+    zero = F.lit(0).cast("int")
+    links = whole.where("original is not null").select("thread", "order", "level", "at", zero.alias("kind"), zero.alias("place"), "original").unionByName(parts)
+    links = links.groupBy("thread", "order").agg(F.min_by("original", F.struct("level", "at", "kind", "place")).alias("parent"))
     links = scratch.write(links, "links")
     # pointer doubling: anc is the message 'up' replies above; rows that have come to their root take no part in later rounds
     step = scratch.write(links.select("thread", "order", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("up"), F.lit(False).alias("done")), "up0")
@@ -90,6 +116,7 @@ def link_quotations(messages: DataFrame, thread_col: str = "conv_id", order_col:
     return out.select(
         "row.*", "own_text", F.size("passages").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("max_level"),
         F.col("parent").alias("parent_order"), F.coalesce("anc", "order").alias("root_order"), F.coalesce("up", F.lit(0)).cast("long").alias("depth"),
+        F.when(F.col("thread").isNotNull() & F.col("order").isNotNull(), F.rank().over(Window.partitionBy("thread", F.coalesce("anc", "order")).orderBy("order"))).cast("long").alias("position"),
     )
 
 

@@ -362,6 +362,24 @@ def test_quotations(spark):
     assert quotations.link_quotations(out.select("conv_id", "turn", "text").limit(0)).count() == 0
 
 
+def test_quotations_in_part(spark):
+    """One paragraph of a longer message, one re-wrapped, one line, and a reply between quotations; positions in conversations."""
+    first = "Hello all,\n\nthe build fails on\nMonday mornings.\n\nShould we move it?\nOr drop it?"
+    rows = [
+        (1, 1, first),
+        (1, 2, "They wrote:\n> the build fails\n> on Monday mornings.\n\nSame here."),
+        (1, 3, "They wrote:\n> Hello all,\n\nHi.\n\n> Or drop it?\nNo."),
+        (1, 4, "> Same here.\n\nThen say more."),
+        (1, 5, "Another matter."),
+        (1, 6, "> nobody wrote this\n\nReally?"),
+        (2, 7, "> Or drop it?\nAnother thread."),
+    ]
+    got = {r.turn: r for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert {k: (r.parent_order, r.root_order, r.depth, r.position) for k, r in got.items()} == {
+        1: (None, 1, 0, 1), 2: (1, 1, 1, 2), 3: (1, 1, 1, 3), 4: (2, 1, 2, 4), 5: (None, 5, 0, 1), 6: (None, 6, 0, 1), 7: (None, 7, 0, 1),
+    }
+
+
 # mixing
 
 
