@@ -194,9 +194,12 @@ def gzip_compress_with_header(col, filename: Column | str | None = None, mtime:
 
 
 def gzip_read_header(col, on_error="raise"):
-    """Struct of filename, mtime, comment, os, extra. Nothing is inflated, and of large values only the first 128 KiB travel."""
+    """Struct of filename, mtime, comment, os, extra. Nothing is inflated, and of large values only the first 128 KiB travel, unless the header goes on behind them."""
     b = _bytes(col)
-    return _apply(header.read_header, [F.when(F.octet_length(b) <= 1 << 17, b).otherwise(F.substring(b, 1, 1 << 17))], HEADER, on_error)
+    large = F.octet_length(b) > 1 << 17
+    prefix = F.substring(b, 1, 1 << 17)
+    goes_on = _apply(lambda x: "yes" if header.goes_on(x) else "no", [F.when(large, prefix)], T.StringType()) == "yes"
+    return _apply(header.read_header, [F.when(large & ~goes_on, prefix).otherwise(b)], HEADER, on_error)
 
 
 def version() -> Column:

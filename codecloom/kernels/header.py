@@ -6,7 +6,7 @@ import struct
 import zlib
 
 from .codecs import deflate_compress
-from .limits import failed
+from .limits import CodecError, failed
 
 FHCRC, FEXTRA, FNAME, FCOMMENT = 2, 4, 8, 16
 UNKNOWN_OS = 255
@@ -45,3 +45,12 @@ def read_header(data: bytes) -> dict:
     if flags & FHCRC and len(data) < at + 2:
         raise failed("gzip read header", "unexpected end of file")
     return {"filename": texts[0], "mtime": mtime, "comment": texts[1], "os": os, "extra": extra}
+
+
+def goes_on(prefix: bytes) -> bool:
+    """Whether a gzip header doesn't end within the first bytes of a value."""
+    try:
+        read_header(prefix)
+    except CodecError as e:
+        return str(e).endswith("unexpected end of file")
+    return False

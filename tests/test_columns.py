@@ -199,3 +199,19 @@ def test_structured_streaming(spark, tmp_path, codec, how):
     if how == "compress":
         got = {k: codecs.DECOMPRESS[codec](v) for k, v in got.items()}
     assert got == whole
+
+
+def test_gzip_header_of_any_length(spark):
+    """A name and comment beyond the first 128 KiB, a large value with a short header, and headers that never end."""
+    import struct
+
+    def member(name: bytes, comment: bytes, rest: bytes) -> bytes:
+        return struct.pack("<BBBBIBB", 0x1F, 0x8B, 8, 8 | 16, 7, 0, 3) + name + b"\0" + comment + b"\0" + rest
+
+    long = b"n" * 100_000, b"c" * 100_000
+    values = [member(*long, b"data"), member(b"n", b"c", bytes(200_000)), member(b"n" * 300_000, b"", b"")[:250_000], b"x" * 200_000, None]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, z binary")
+    got = [r.h for r in df.orderBy("k").select(cf.gzip_read_header("z", on_error="result").alias("h")).collect()]
+    assert (got[0].value.filename, got[0].value.comment) == tuple(x.decode() for x in long)
+    assert (got[1].value.filename, got[1].value.comment, got[1].value.mtime) == ("n", "c", 7)
+    assert [h.error for h in got[2:4]] == ["gzip read header failed: unexpected end of file", "gzip read header failed: invalid gzip header"] and got[4] is None
