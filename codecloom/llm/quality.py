@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import BitFilter, Scratch
 
 RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "shout_ratio")
 ALPHA, DELTA, PRICE = 0.05, 0.1, 20.0
@@ -155,7 +155,7 @@ def _tails(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
 
 
-def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def thresholds(labelled: DataFrame, scratch: Scratch, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and, per rule, the cut-off in grid cells (null: not used).
 
     ``labelled``: id, stratum, good (boolean) and COUNTS, of documents that the base rule keeps. One row per stratum and rule and
@@ -179,7 +179,7 @@ def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA)
     worth = F.col("out_bad_a") - PRICE * F.col("out_good_a")
     tests = tests.withColumn("best", F.max(F.struct(worth.alias("worth"), F.col("cell").alias("cell"))).over(one)).where("best.worth > 0")
     tests = tests.withColumn("rules", F.size(F.collect_set("rule").over(Window.partitionBy("stratum"))))
-    tests = Scratch(labelled.sparkSession, "quality").write(tests, "tests")  # a row per stratum, rule and cell
+    tests = scratch.write(tests, "tests")  # a row per stratum, rule and cell
     selected = max(1, tests.select("stratum", "rule").distinct().count())
     tail = _tails(F.col("out_good_b"), F.col("n_b"), F.lit(alpha) / F.col("rules"))
     tests = tests.withColumn("fails", (tail > delta / selected).cast("int"))
@@ -208,7 +208,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scratch = Scratch(docs.sparkSession, "quality")
     plain = docs.select(docs[id_col].alias("id"), docs[stratum_col].cast("string").alias("stratum"), docs[text_col].cast("string").alias("text"))
     features = scratch.write(with_counts(plain, "text").drop("text"), "features")
-    cuts = scratch.write(thresholds(labelled_docs(features, labels), **risk), "cuts").withColumnRenamed("stratum", "cut_stratum")
+    cuts = scratch.write(thresholds(labelled_docs(features, labels), scratch, **risk), "cuts").withColumnRenamed("stratum", "cut_stratum")
     both = features.join(cuts, features["stratum"].eqNullSafe(cuts["cut_stratum"]), "left").drop("cut_stratum")
     return both.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejects())
 
@@ -217,13 +217,15 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows that are kept, with all their columns.
 
     Features of labelled documents set the cut-offs; a second pass counts each document and applies them on the spot, so no verdict
-    has to be joined back to a text.
+    has to be joined back to a text. Which documents may be labelled is asked of a bit filter over the labels' ids: texts are not shuffled.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    wanted = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("label_id")).distinct()
+    wanted = scratch.write(labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("string").alias("label")).distinct(), "labels")
     plain = docs.select(docs[id_col].alias("id"), docs[stratum_col].cast("string").alias("stratum"), docs[text_col].cast("string").alias("text"))
-    features = scratch.write(with_counts(plain.join(wanted, plain["id"] == wanted["label_id"], "left_semi"), "text").drop("text"), "features")
-    cuts = scratch.write(thresholds(labelled_docs(features, labels), **risk), "cuts").withColumnRenamed("stratum", "cut_stratum")
+    maybe = BitFilter(wanted, ["label"], scratch, "label-bits").mark(plain, "maybe", F.col("id").cast("string")).where("maybe").select("id", "stratum", "text")
+    features = scratch.write(with_counts(maybe, "text").drop("text"), "features")
+    cuts = scratch.write(thresholds(labelled_docs(features, labels), scratch, **risk), "cuts").withColumnRenamed("stratum", "cut_stratum")
+    scratch.drop(features, wanted)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[stratum_col].cast("string").alias("stratum"), docs[text_col].cast("string").alias("text"))
     both = with_counts(whole, "text")
     both = both.join(cuts, both["stratum"].eqNullSafe(cuts["cut_stratum"]), "left")
