@@ -2,14 +2,15 @@
 
 A leaf of a document's tree stands for about ``LEAF`` consecutive pre-tokens and holds their characters and tokens; inner nodes hold sums.
 An edit finds its leaves by descending the tree, re-splits from one leaf before it until a pre-token boundary falls on an old leaf boundary
-behind it, counts the tokens of those pre-tokens alone, and adds the differences along the paths to the root. Splitting looks ahead one
-character and never back, so a boundary that both texts share makes everything behind it equal.
+behind it, counts the tokens of those pre-tokens alone, and adds the differences along the paths to the root. Splitting looks ahead no further than
+a special token is long and never back, so a boundary that both texts share makes everything behind it equal.
 
 ``build_trees`` writes nothing itself; its rows (id, text, chars, tokens, and all other columns) are the store that a caller keeps.
 ``apply_edits`` takes such rows with an array column of edits and gives the rows after them. Neither shuffles: a document's text, tree
 and edits are one row.
 
-Results in odd cases: a null text counts as empty, with no tokens. Positions and lengths beyond the text are cut to it, null edits or fields
+Results in odd cases: a null text counts as empty, with no tokens. A special token's string is one token, as in ``packing``, also where an
+edit makes or breaks it. Runs of one character may be of any length. Positions and lengths beyond the text are cut to it, null edits or fields
 count as no edit, 0 or the empty string. Edits apply in the order of the array, each to the text the one before left. Repeated rows are documents of
 their own. An empty table gives no rows. Extra columns pass through ``build_trees`` and ``apply_edits``, which fail only if a column is
 called as one of theirs.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packing import encoder, public_vocabulary
+from .packing import encoder, public_vocabulary, spans, special_pattern
 
 LEAF = 32
 EDITS = "array<struct<pos:bigint,drop:bigint,insert:string>>"
@@ -38,15 +39,23 @@ class Counter(dict):
     def __init__(self, vocabulary: dict, most: int = 300_000):
         super().__init__()
         self.enc, self.most = encoder(**vocabulary), most
-        self.split = regex.compile(vocabulary["pattern"]).finditer
-        self.words = regex.compile(vocabulary["pattern"]).findall
+        self.pattern, self.special = regex.compile(vocabulary["pattern"]), special_pattern(vocabulary["special"])
+        self.names = {name for name, _ in vocabulary["special"]}
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[piece] = len(self.enc.encode_ordinary(piece))
+        # a pre-token needs no splitting, and the encoder's own would fail on long runs
+        n = 1 if piece in self.names else len(self.enc._encode_single_piece(piece))
+        if len(piece) <= 200:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = n
         return n
 
+    def words(self, text: str) -> list[str]:
+        if self.special.search(text):
+            return [text[a:b] for a, b, _ in spans(text, self.pattern, self.special)]
+        return self.pattern.findall(text)
+
 
 class Tree:
     """chars and tokens: sums in heap order, the root at 1, the leaves in the last half."""
@@ -118,13 +127,13 @@ def edit(text: str, tree: Tree, pos: int, drop: int, insert: str, counter: Count
     leaves = tree.cap
     cuts, counts = [start], []
     behind = last + 1
-    for m in counter.split(new, start):
-        counts.append(counter[m.group()])
-        cuts.append(m.end())
-        while behind < leaves and stop + shift < m.end():
+    for a, b, _ in spans(new, counter.pattern, counter.special, start):
+        counts.append(counter[new[a:b]])
+        cuts.append(b)
+        while behind < leaves and stop + shift < b:
             stop += int(tree.chars[tree.cap + behind])
             behind += 1
-        if m.end() == stop + shift and m.end() >= pos + len(insert):
+        if b == stop + shift and b >= pos + len(insert):
             break
     if len(counts) > 4 * LEAF * (behind - first):  # leaves would grow too large
         return new, plant(new, counter), len(new)
