@@ -124,19 +124,4 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER g AND row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    "op8_entropy_mixing": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS v FROM documents),
-        s AS (SELECT source, sum(size)::BIGINT AS source_size,
-                     [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
-        b AS (SELECT *, 2.0::DOUBLE * source_size AS bound, 1.5::DOUBLE * sum(source_size) OVER () AS whole FROM s),
-        l AS (SELECT *, (whole - coalesce(sum(bound) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                     / sum(w) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
-        t AS (SELECT source, source_size, least(bound, w * first(CASE WHEN level * w <= bound THEN level END IGNORE NULLS) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS target FROM l),
-        r AS (SELECT *, least(2.0, round(target / nullif(source_size, 0), 9)) AS rate FROM t),
-        c AS (SELECT d.*, r.source_size, r.target, floor(r.rate) AS copies, r.target - floor(r.rate) * r.source_size AS owed,
-                     sum(size) OVER (PARTITION BY d.source ORDER BY v) AS upto, sum(size) OVER (PARTITION BY d.source, v) AS own
-              FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-        SELECT doc_id, size, source_size, coalesce(target, 0)::DOUBLE AS target,
-               (size * least(2, coalesce(copies, 0) + CASE WHEN owed > 0 AND (upto + upto - own) / 2.0 <= owed THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
