@@ -34,10 +34,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of ``width`` consecutive word hashes; one per start, len(words) - width + 1 in all."""
+    """Hash of every run of ``width`` consecutive word hashes; one per start, len(words) - width + 1 in all.
+
+    A seed other than 0 spreads the word hashes anew before they are summed, so that runs which meet under one seed are no likelier to
+    meet under another. (Two words with one 64-bit hash are one word under any seed.)
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if seed:
+        words = mix64(words + np.uint64((seed * 0xD1342543DE82EF95) & (1 << 64) - 1))
     out = np.full(n, np.uint64(seed * 2 + 1), np.uint64)
     for k in range(width):
         out *= _ODD
