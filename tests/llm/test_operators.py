@@ -86,6 +86,63 @@ def test_packing_neighbours_are_related():
     assert [d for d, _, _ in first] == [0, 2]
 
 
+def test_packing_any_text():
+    """Texts of any length and kind have the ids of the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary, mark = packing.public_vocabulary(), "<|endoftext|>"
+    for t in (" " * 2_000_000, "a" * 2_000_000, "x\n" * 1000 + "\n" * 1_000_000, "a" + " " * 1_200_000 + mark + " " * 300_000 + "z", (" " + mark + "  x" + mark) * 20_000, "é漢 ́ab's 12 \x1c\x85 " * 30_000):
+        assert packing.encode(t, vocabulary) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_cuts_where_ids_cannot_change(monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary, rng = packing.public_vocabulary(), random.Random(8)
+    pool = [" ", "  ", "a", "b ", "\n", "é漢", "́", "1", "'s", "'", "<|endoftext|>", "<|", "|>", "#", "\t", "\x85", "\x1c", "\u2003", "endoftext"]
+    for size in (5, 20) * 100:
+        monkeypatch.setattr(packing, "LONG", size)
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(200)))
+        assert packing.encode(t, vocabulary) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_long_runs(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "b" * 1_500_000), (3, "end")], "doc_id long, text string")
+    got = packing.pack(docs, with_ids=False).groupBy("id").agg(F.sum("length").alias("n")).collect()
+    assert {r.id: r.n for r in got} == {1: 1_500_001, 2: len(packing.encode("b" * 1_500_000, packing.public_vocabulary())) + 1, 3: 2}
+
+
+def test_packing_brings_relatives_together(spark, monkeypatch):
+    """With many shards, texts on one subject meet in windows far more often than at random."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 4_000)
+    rng = random.Random(6)
+    common = [f" {w}" for w in "the of and to in is was for on that with as it at by from or an be this which are".split()]
+    letters = "bcdfghjklmnpqrstvwxz"
+    subjects = [[f" {rng.choice(letters)}{rng.choice('aeiou')}{rng.choice(letters)}{rng.choice('aeiou')}{rng.choice(letters)}" for _ in range(12)] for _ in range(40)]
+    rows = [(k, "".join(rng.choice(subjects[k % 40] if rng.random() < 0.4 else common) for _ in range(40))) for k in range(1200)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=512, with_ids=False).collect()
+    windows = collections.defaultdict(list)
+    for p in pieces:
+        windows[p.sequence_id].append(p.id % 40)
+    assert len({w >> 33 for w in windows}) > 5
+
+    def alike(groups):
+        return sum(a == b for g in groups for a, b in zip(g, g[1:], strict=False)) / sum(len(g) - 1 for g in groups)
+
+    assert alike([w for w in windows.values() if len(w) > 1]) > 0.3  # 1 in 40 at random
+
+
+def test_packing_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, "three")], "doc_id string, text string")
+    assert sorted((str(r.id), r.length) for r in packing.pack(docs).collect()) == [("None", 2), ("a", 3)]
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
 
@@ -298,14 +355,41 @@ def test_exact_dedup_rows(docs, rows):
     assert {r.doc_id for r in got if r.text == BASE} == {2}
 
 
+def test_exact_hashes_survivors_only(spark):
+    """Whole texts are hashed where another row has the length and the prefix, and nowhere else."""
+    from codecloom.llm.common import Scratch
+
+    same = "x" * 70
+    texts = [f"length {k:03d}" + "y" * k for k in range(100)] + [f"{k:03d}" + "z" * 200 for k in range(50)] + [same + "a", same + "b", same + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = exact_dedup.refine(docs, Scratch(spark, "t")).collect()
+    assert {r.id for r in rows if r.sha is not None} >= {150, 151, 152} and sum(r.sha is not None for r in rows) < 10
+    assert sum(r.prefix is not None for r in rows) < 70
+    got = exact_dedup.exact_groups(docs, hash_all=False)
+    assert {r.id for r in got.where("not kept").collect()} == {150}
+
+
+def test_exact_dedup_doubtful_rows(spark, monkeypatch):
+    """A filter that says yes to everything, and rows that share id and length."""
+    from codecloom.llm import common
+
+    monkeypatch.setattr(common.BitFilter, "_at", lambda self, *cols: F.lit(0).cast("long"))
+    rows = [(1, "aa", 7), (1, "ab", 7), (2, "aa", 7), (2, "aa", 8), (3, "cc", 9), (None, "aa", 1), (None, "q", 2), (None, "r", 3), (4, None, 5), (5, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own long")
+    got = exact_dedup.exact_dedup(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str)
+    assert kept == sorted([(1, "ab"), (2, "aa"), (3, "cc"), (None, "q"), (None, "r"), (5, "")], key=str)
+
+
 # edits
 
 
 def test_edits_equal_recounting():
     vocabulary = packing.public_vocabulary()
-    counter, enc = edit_counts.Counter(vocabulary), packing.encoder(**vocabulary)
+    counter = edit_counts.Counter(vocabulary)
     rng = random.Random(3)
-    pool = ["", " ", "\n", "x", "'s", " word", "   \n\n ", "é漢", "12 345", BASE[:500], " \t" * 40, "a" * 900]
+    pool = ["<|endoftext|>", "<|end", "oftext|>", "", " ", "\n", "x", "'s", " word", "   \n\n ", "é漢", "12 345", BASE[:500], " \t" * 40, "a" * 900]
     for start in ("", "a", " ", BASE, BASE * 3 + "  \n", " " * 300):
         text, tree = start, edit_counts.plant(start, counter)
         for _ in range(40):
@@ -313,7 +397,15 @@ def test_edits_equal_recounting():
             new, tree, _ = edit_counts.edit(text, tree, pos, drop, insert, counter)
             assert new == text[:pos] + insert + text[pos + drop :]
             text = new
-            assert (tree.tokens[1], tree.chars[1]) == (len(enc.encode_ordinary(text)), len(text))
+            assert (tree.tokens[1], tree.chars[1]) == (len(packing.encode(text, vocabulary)), len(text))
+
+
+def test_edits_of_long_runs():
+    vocabulary = packing.public_vocabulary()
+    counter = edit_counts.Counter(vocabulary)
+    for text in (" " * 1_200_000, "a" * 500_000):
+        new, tree, _ = edit_counts.edit(text, edit_counts.plant(text, counter), 400_000, 3, "<|endoftext|>", counter)
+        assert tree.tokens[1] == len(packing.encode(new, vocabulary))
 
 
 def test_edits_touch_little():
@@ -329,9 +421,9 @@ def test_edits_on_tables(docs, rows, empty):
     trees = edit_counts.build_trees(docs)
     out = edit_counts.apply_edits(trees.withColumn("edits", edits))
     assert set(docs.columns) < set(out.columns)
-    enc = packing.encoder(**packing.public_vocabulary())
+    ids = lambda t: packing.encode(t, packing.public_vocabulary())
     got = sorted(((r.doc_id, r.tokens_before, r.tokens_after) for r in out.collect()), key=str)
-    want = [(r[0], len(enc.encode_ordinary(t := r[1] or "")), len(enc.encode_ordinary(t[:3] + "new" + t[5:]))) for r in rows]
+    want = [(r[0], len(ids(t := r[1] or "")), len(ids(t[:3] + "new" + t[5:]))) for r in rows]
     assert got == sorted(want, key=str)
     assert edit_counts.apply_edits(edit_counts.build_trees(empty).withColumn("edits", edits)).count() == 0
 
@@ -401,29 +493,79 @@ def test_targets_water_filling(spark):
     assert got == pytest.approx(target)
 
 
+def plain_rates(cells, target, cap=mixing.CAP, slack=mixing.SLACK):
+    """Rates by source and class, by descending the dual one coordinate at a time; cells: words by (source, class)."""
+    sources, classes = sorted(target), sorted({k for _, k in cells})
+    words = sum(cells.values())
+    goal = {k: sum(n for (_, c), n in cells.items() if c == k) / words * sum(target.values()) for k in classes}
+    lam, mu = dict.fromkeys(sources, 0.0), dict.fromkeys(classes, 0.0)
+
+    def zero(f):
+        a, b = -60.0, 60.0
+        for _ in range(100):
+            m = (a + b) / 2
+            a, b = (m, b) if f(m) < 0 else (a, m)
+        return (a + b) / 2
+
+    def rate(x):
+        return min(cap, math.exp(x))
+
+    for _ in range(400):
+        for s in sources:
+            lam[s] = zero(lambda x, s=s: sum(cells.get((s, k), 0) * rate(x + mu[k]) for k in classes) - target[s])
+        for k in classes:
+            mu[k] = zero(lambda x, k=k: sum(cells.get((s, k), 0) * rate(lam[s] + x) for s in sources) - goal[k] + slack * goal[k] * x)
+    return {c: rate(lam[c[0]] + mu[c[1]]) for c in cells}
+
+
+def length_class(size):
+    return sum(size >= e for e in mixing.EDGES)
+
+
+def check_mixing(got, targets_too=True):
+    """got: rows of mix_rates. Rates against the plain version, copies, and how near each source comes."""
+    name = lambda s: "~" if s is None else s
+    cells = collections.Counter()
+    target = {name(r.source): r.target for r in got}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.size * r.copies and r.copies in (math.floor(r.rate), math.floor(r.rate) + 1)
+        cells[name(r.source), length_class(r.size)] += r.size
+    want = plain_rates(cells, target)
+    for r in got:
+        if r.size:
+            assert r.rate == pytest.approx(want[name(r.source), length_class(r.size)], abs=2e-5)
+    for s in target:
+        part = [r for r in got if name(r.source) == s]
+        # rows with one id and text are decided together
+        alike = collections.Counter()
+        for r in part:
+            alike[r.id, r.size] += r.size
+        assert abs(sum(r.taken for r in part) - target[s]) <= max(alike.values()) / 2 + 1e-3
+
+
 def test_mixing(docs, rows, sample, empty):
     for df in (docs, sample):
         got = mixing.mix_rates(df).collect()
-        by = collections.defaultdict(list)
-        for r in got:
-            assert 0 <= r.taken <= 2 * r.size and r.taken == r.size * r.copies
-            by[r.source].append(r)
-        for part in by.values():
-            assert abs(sum(r.taken for r in part) - part[0].target) <= max((r.size for r in part), default=0)
-        again = sorted(map(str, mixing.mix_rates(df).collect()))
+        check_mixing(got)
+        again = sorted(map(str, mixing.mix_rates(df.repartition(2)).collect()))
         assert again == sorted(map(str, got))
+    assert len({(r.source, r.rate) for r in got}) > len({r.source for r in got})  # rates differ within a source
     out = mixing.mix(docs)
     assert out.columns == docs.columns
     assert out.where("doc_id = 7").count() == next(r.copies for r in mixing.mix_rates(docs).where("id = 7").collect())
     assert mixing.mix_rates(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
-def test_duals_with_base_rates_and_cap(spark):
-    stats = spark.createDataFrame([("a", 100.0, 1.0), ("a", 50.0, 0.1), ("a", 30.0, 5.0), ("b", 10.0, 1.0)], "source string, size double, base double")
-    goal = spark.createDataFrame([("a", 180, 250.0), ("b", 10, 3.0)], "source string, source_size long, target double")
-    for r in mixing.duals(stats, goal).collect():
-        rates = [(x.size, min(2.0, x.base * math.exp(r.dual))) for x in stats.where(F.col("source") == r.source).collect()]
-        assert sum(s * w for s, w in rates) == pytest.approx(r.target)
+def test_mixing_null_ids_and_many_sources(spark, monkeypatch):
+    """Null ids are told apart by their texts; a plan that is too long to broadcast; a column called as one of the operator's."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 2)
+    rng = random.Random(11)
+    rows = [(None, " ".join(f"w{k}" for _ in range(rng.choice([20, 90, 300]))) + f" {k}", f"s{k % 3 if k % 2 else 4}", k) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    got = mixing.mix_rates(docs).collect()
+    check_mixing(got)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in got)
 
 
 # licences
@@ -528,6 +670,59 @@ def test_near_odd_rows(docs, rows, empty):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 10, 11, 4, 5, 6, 7, 8, None, None]
 
 
+def test_near_string_ids_and_a_bucket_of_many_components(spark, monkeypatch):
+    """Texts that share half of their words: buckets whose members are not alike, and groups linked through one another."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    monkeypatch.setattr(near_dedup, "LEAD_LOAD", 10)
+    monkeypatch.setattr(near_dedup, "HOT", 3)
+    rng = random.Random(9)
+    shared, rows = [f"s{k}" for k in range(60)], []
+    for g in range(12):
+        own = [f"g{g}w{k}" for k in range(40)]
+        for _ in range(8):
+            copy = shared + own
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+            rows.append((f"d{len(rows):03d}", " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    assert near_rows(df, width=4) == plain_near(rows, 4, 80)
+
+
+def test_near_registers_agree_as_often_as_texts_are_similar():
+    rng = np.random.default_rng(0)
+    for n in (6, 30, 300, 3000):
+        share = []
+        for _ in range(40):
+            u = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+            c = round(0.8 * n)
+            x, y = (near_dedup.registers(np.unique(v)) for v in (u[: c + (n - c) // 2], np.concatenate([u[:c], u[c + (n - c) // 2 :]])))
+            share.append((x == y).mean())
+            assert (x == y).sum() >= near_dedup.least_matches(80) and (x == y).reshape(near_dedup.BANDS, -1).all(axis=1).any()
+        assert abs(np.mean(share) - c / n) < 0.02
+
+
+def test_near_rows_sent(spark, monkeypatch):
+    """A bucket of 3,000 members that are all one group but for a few: what is given out does not grow with its square."""
+    from codecloom.llm.common import Scratch
+
+    sent = []
+    real = Scratch.write
+
+    def count(self, df, name, *a):
+        out = real(self, df, name, *a)
+        sent.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", count)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: 60 - k % 3], f"own{k}", *base[60 - k % 3 :]])) for k in range(3000)]
+    rows += [(3000 + k, " ".join([*base[:25], *(f"x{rng.random()}" for _ in range(30))])) for k in range(5)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert got.where("component_id = 0").count() == 3000
+    assert max(n for _, n in sent) < 60 * 3005
+
+
 def test_near_groups_of_edited_copies(spark, monkeypatch):
     """A large group whose members are linked through one another, spread over several chunks."""
     monkeypatch.setattr(near_dedup, "CHUNK", 16)
@@ -571,8 +766,7 @@ def test_pipeline(spark):
     stay = [(i, t) for i, t in unique if (i, i) in {(a, c) for a, _, c in plain_near(unique, 5, 80)}]
     mixed = mixing.mix_rates(spark.createDataFrame([(i, t, docs[i].source) for i, t in stay], SCHEMA.split(", lang")[0] + ", source string")).collect()
     copies = {r.id: r.copies for r in mixed if r.copies}
-    enc = packing.encoder(**packing.public_vocabulary())
     tokens = collections.Counter()
     for p in got:
         tokens[p.doc_id] += p.length
-    assert tokens == {i: n * (len(enc.encode(docs[i].text, allowed_special="all")) + 1) for i, n in copies.items()}
+    assert tokens == {i: n * (len(packing.encode(docs[i].text, packing.public_vocabulary())) + 1) for i, n in copies.items()}

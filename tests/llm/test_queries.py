@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from codecloom.llm import packing, queries
-from tests.llm.test_operators import DATA, plain_counts, plain_near, plain_substrings
+from codecloom.llm import mixing, packing, queries
+from tests.llm.test_operators import DATA, check_mixing, plain_counts, plain_near, plain_substrings
 
 TABLES = ("documents", "labels", "conversations")
 
@@ -42,8 +42,12 @@ def test_sql(spark, name):
 
 
 def test_op1(spark, texts):
-    enc = packing.encoder(**packing.public_vocabulary())
-    ids = {i: [*enc.encode(t, allowed_special="all"), 1] for i, t in texts.items()}
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
     seen, ends = Counter(), {}
     for r in queries.op1_lexical_packing(spark, DATA).orderBy("sequence_id", "offset").collect():
         part = ids[r.doc_id][r.start : r.start + r.length]
@@ -82,13 +86,20 @@ def test_op4(spark, texts):
 
 
 def test_op6(spark, texts):
-    enc = packing.encoder(**packing.public_vocabulary())
+    vocabulary = packing.public_vocabulary()
     got = {r.doc_id: r for r in queries.op6_edit_aware_token_counts(spark, DATA).collect()}
     for i, t in texts.items():
         place, mid = zlib.crc32(str(i).encode()) % (len(t) + 1), len(t) // 2
         new = t[:place] + t[:40] + t[place + 12 :]
         new = new[:mid] + f" edit {i}" + new[mid + 5 :] + "\nEnd."
-        assert (got[i].tokens_before, got[i].tokens_after, got[i].n_chars_after) == (len(enc.encode_ordinary(t)), len(enc.encode_ordinary(new)), len(new))
+        assert (got[i].tokens_before, got[i].tokens_after, got[i].n_chars_after) == (len(packing.encode(t, vocabulary)), len(packing.encode(new, vocabulary)), len(new))
+
+
+def test_op8(spark):
+    got = queries.op8_entropy_mixing(spark, DATA).collect()
+    rates = mixing.mix_rates(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    check_mixing(rates)
+    assert sorted((r.id, r.size, r.source_size, r.target, r.taken) for r in rates) == sorted(map(tuple, got))
 
 
 def test_op10(spark, texts):
