@@ -1,18 +1,19 @@
 """Scoring texts with a logistic context-mixing model over bits, learned from the corpus.
 
 A byte (or the end of the text) is spelled as a path in a binary tree chosen by the byte before it (a Huffman tree of the training
-counts), so that few decisions are left per byte. Each decision is predicted in four hashed contexts: the last 2, 4 and 6 bytes,
-and the whole word read so far (lower-cased). A gate (how sure the two longest contexts are) selects the weights that mix the four
-predictions in the logistic domain, and an adaptive map per gate corrects the mixed probability.
+counts), so that few decisions are left per byte. Each decision is predicted from the byte before (the tree's own counts) and in four hashed
+contexts: the last 2, 4 and 6 bytes, and the whole word read so far (lower-cased). A gate (how sure the longest contexts are) selects the
+weights that mix the predictions in the logistic domain, and an adaptive map per gate corrects the mixed probability.
 
 Learning runs on Spark over all training documents, in passes that each leave a written table:
 
 1. Counts of tokens (for the base score) and of byte pairs (for the trees): partial counts per task, then an aggregation.
-2. Counts of decisions per hashed slot: each task sums its documents into fixed tables and sends them in compressed chunks; chunks add
-   up in two levels. What is sent grows with the corpus, the summed model is bounded by ``TABLE_BITS``.
-3. One of ``MIX_FOLD`` training documents is kept out of those counts at first and trains the mixing, online in small steps, per task;
-   the tasks' weights are averaged by their number of decisions, their correction maps are summed. Then those documents are counted
-   too, so that the frozen tables cover all training documents.
+2. Counts of decisions per hashed slot: each task sums its documents into a fixed table and sends it in compressed chunks; chunks add
+   up in rounds of at most ``FAN_IN``. Slots grow with the square root of the training bytes, up to ``MOST_BITS`` per context: the memory
+   that a worker gives to the model is the bound (``table_bits``). Beyond it contexts share slots.
+3. One of ``MIX_FOLD`` training documents is kept out of those counts at first. They are read online, in steps of ``BATCH`` decisions: each step is
+   predicted, then moves the gate's weights, the predictors' states and the correction counts together. Tasks' weights are averaged by their number of
+   decisions, their correction counts are summed. Then those documents are counted too, so that the frozen tables cover all training documents.
 
 Scoring is one further pass with the frozen model: a text's score depends on that text and the model alone. The base score needs
 each token's count: the most frequent tokens, ``HEAD`` at most, are broadcast, the rest are joined by token, so no token is a hot key.
@@ -40,18 +41,27 @@ from .common import Scratch
 
 FOLDS, HELD_OUT = 7, 2
 MIX_FOLD = 16
-#: log2 of the slots per context (2, 4, 6 bytes; word): the model's bound.
-TABLE_BITS = (20, 22, 23, 23)
+#: log2 of the slots per hashed context (2, 4, 6 bytes; word) at 2 ** 29 training bytes; every factor of four adds one. Least that is added, and the bound.
+BASE_BITS, BASE_BYTES = (20, 22, 23, 23), 29
+LEAST_ADDED, MOST_BITS = -1, 24
+#: log2 of the slots among which a context deals its decisions: few, so that those of a byte lie side by side in memory.
+NEAR_BITS = (20, 6, 5, 5)
 CHUNK = 1 << 16
+#: Tables that are added up in one place.
+FAN_IN = 64
 HEAD = 1 << 17
 END = 256
 PAD = 6
-#: Bytes that are worked on at once.
-BLOCK = 1 << 16
+#: Bytes that are worked on at once, and decisions per step of the online training.
+BLOCK, BATCH = 1 << 16, 2048
+#: Inputs of the mixing: the byte before, then the hashed contexts. Units: predictions 1/16, weights 1/256, levels STEP.
+INPUTS = 1 + len(BASE_BITS)
 GATES, LEVELS, STEP = 18, 65, 0.25
-RATE = 0.3
+START, RATE, MOVE = 0.25, 0.3, 0.05
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Each tree node's own bits, by which it takes its slot among a context's.
+_NODES = (np.arange(512, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
 _R = np.uint64(0x2545F4914F6CDD1D)
 _R_INV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -60,14 +70,30 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FLUSH = 400_000
 
 
+def table_bits(n_bytes: int) -> tuple[int, ...]:
+    """log2 of the slots per hashed context for so many training bytes."""
+    more = max(LEAST_ADDED, (max(n_bytes, 1).bit_length() - 1 - BASE_BYTES) // 2)
+    return tuple(min(MOST_BITS, b + more) for b in BASE_BITS)
+
+
+def offsets(bits: tuple[int, ...]) -> tuple[list[int], int]:
+    """Where each context's slots begin in the one table, the largest first (so that a begin shares no bits with a place), and their number."""
+    at, out = 0, [0] * len(bits)
+    for k in sorted(range(len(bits)), key=lambda k: -bits[k]):
+        out[k] = at
+        at += 1 << bits[k]
+    return out, at
+
+
 class Trees:
-    """Paths of (byte before, symbol): decision nodes and bits, flat."""
+    """Paths of (byte before, symbol): decision nodes, bits and what the tree's counts predict, flat."""
 
     def __init__(self, pairs: np.ndarray):
         """``pairs``: 256 x 257 counts."""
         self.length = np.zeros((256, 257), np.int64)
         self.start = np.zeros((256, 257), np.int64)
         flat: list[np.ndarray] = []
+        hints: list[np.ndarray] = []
         at = 0
         for before in range(256):
             w = pairs[before].astype(np.float64)
@@ -75,10 +101,12 @@ class Trees:
             heap = [(x, s) for s, x in enumerate(w.tolist())]
             heapq.heapify(heap)
             kids: dict[int, tuple[int, int]] = {}
+            hint: dict[int, int] = {}
             node = 257
             while len(heap) > 1:
                 a, b = heapq.heappop(heap), heapq.heappop(heap)
                 kids[node] = (a[1], b[1])
+                hint[node - 257] = round(max(-127.0, min(127.0, 16 * math.log(b[0] / a[0]))))
                 heapq.heappush(heap, (a[0] + b[0], node))
                 node += 1
             todo = [(heap[0][1], ())]
@@ -87,10 +115,11 @@ class Trees:
                 if n < 257:
                     self.length[before, n], self.start[before, n] = len(path), at
                     flat.append(np.array(path, np.int64))
+                    hints.append(np.array([hint[p >> 1] for p in path], np.int8))
                     at += len(path)
                 else:
                     todo += [(k, (*path, (n - 257) << 1 | bit)) for bit, k in enumerate(kids[n])]
-        self.steps = np.concatenate(flat).astype(np.int16)
+        self.steps, self.hints = np.concatenate(flat).astype(np.int16), np.concatenate(hints)
         self.length, self.start = self.length.ravel().astype(np.int32), self.start.ravel().astype(np.int32)
 
 
@@ -109,9 +138,9 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Events:
-    """The decisions of a block of texts: node and bit, slot in each context's table, and where each text's decisions begin."""
+    """The decisions of a block of texts: the bit, the tree's hint, the slot in each hashed context (a row per decision), and where each text's decisions begin."""
 
-    def __init__(self, texts: list[bytes], trees: Trees):
+    def __init__(self, texts: list[bytes], trees: Trees, bits: tuple[int, ...]):
         # eight bytes to look back into, then each text with a place for its end, and padding between texts
         raw = bytes(8) + bytes(PAD + 1).join(texts) + b"\0"
         n = len(raw) - 8
@@ -133,17 +162,23 @@ class Events:
         word = (run[:-1] - run.take(begin)) * back.take(begin)
         word ^= past >> np.uint64(56) << np.uint64(56)
         total = np.cumsum(many)
-        path = np.repeat(trees.start.take(pair) - (total - many), many)
+        # the byte that each decision belongs to, and its place in the trees' paths
+        owner = np.zeros(int(total[-1]), np.int32)
+        np.add.at(owner, total[:-1][many[1:] > 0], np.diff(np.flatnonzero(many)).astype(np.int32))
+        owner[0] = np.flatnonzero(many)[0]
+        owner = np.cumsum(owner)
+        path = (trees.start.take(pair) - (total - many)).take(owner)
         path += np.arange(len(path), dtype=path.dtype)
         step = trees.steps.take(path)
-        salt = (step >> 1).astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B)
-        self.slots = []
-        for c, bits, m in zip((past >> np.uint64(48), past >> np.uint64(32), past >> np.uint64(16), word), TABLE_BITS, _M, strict=True):
-            h = np.repeat(((c + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32), many)
-            h += salt
-            h *= np.uint32(0x9E3779B1)
-            h >>= np.uint32(32 - bits)
-            self.slots.append(h)
+        self.hint = trees.hints.take(path)
+        # a byte's place in each context, for each of its decisions; the node picks the slot
+        context = np.empty((n, len(bits)), np.uint32)
+        node = np.empty((len(_NODES), len(bits)), np.uint32)
+        for k, (c, b, near, m, at) in enumerate(zip((past >> np.uint64(48), past >> np.uint64(32), past >> np.uint64(16), word), bits, NEAR_BITS, _M, offsets(bits)[0], strict=True)):
+            context[:, k] = ((c + np.uint64(1)) * m >> np.uint64(64 - b)).astype(np.uint32) + np.uint32(at)
+            node[:, k] = _NODES >> np.uint32(32 - min(b, near))
+        self.slots = context.take(owner, axis=0)
+        self.slots ^= node.take(step >> 1, axis=0)
         self.bit = step & 1
         starts = ends - size + 1
         self.of_text = total[starts] - many[starts]
@@ -191,49 +226,51 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
-def _chunk_counter(trees):
+def _chunk_counter(trees, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        tables = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]
+        table = np.zeros(2 * offsets(bits)[1], np.uint32)
         some = False
         for _, texts in _blocks(batches, 0):
             some = True
-            ev = Events(texts, trees.value)
-            bit = ev.bit.astype(np.intp)
-            for table, slot in zip(tables, ev.slots, strict=True):
-                np.add.at(table, slot.astype(np.intp) * 2 + bit, np.uint32(1))
+            ev = Events(texts, trees.value, bits)
+            at = ev.slots.astype(np.intp)
+            at *= 2
+            at += ev.bit[:, None]
+            np.add.at(table, at.ravel(), np.uint32(1))
         if some:
-            task = TaskContext.get().partitionId()
             press = zstandard.ZstdCompressor(1)
-            for k, table in enumerate(tables):
-                parts = table.reshape(-1, 2 * CHUNK)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k << 16 | i for i in range(len(parts))], pa.int64()), pa.array([task] * len(parts), pa.int64()), pa.array([press.compress(p.tobytes()) for p in parts], pa.binary())],
-                    names=["chunk", "task", "counts"],
-                )
+            parts = table.reshape(-1, 2 * CHUNK)
+            for i in np.flatnonzero(parts.any(axis=1)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((i, pa.int64()), (TaskContext.get().partitionId(), pa.int64()), (press.compress(parts[i].tobytes()), pa.binary()))], names=["chunk", "task", "counts"])
 
     return run
 
 
-def _add_chunks(table: pa.Table) -> pa.Table:
+def _sum_of(table: pa.Table) -> np.ndarray:
     import zstandard
 
     total = np.zeros(2 * CHUNK, np.uint64)
     for x in table.column("counts"):
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8)
         total += raw.view(np.uint32 if len(raw) == 8 * CHUNK else np.uint64)
+    return total
+
+
+def _add_chunks(key, table: pa.Table) -> pa.Table:
+    """The chunks of a group as one; the group's number stands for its tasks."""
+    import zstandard
+
+    total = _sum_of(table)
     small = total.astype(np.uint32) if int(total.max()) < 1 << 32 else total
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "task": pa.array([0], pa.int64()), "counts": pa.array([zstandard.ZstdCompressor(1).compress(small.tobytes())], pa.binary())})
+    return pa.table({"chunk": [key[0].as_py()], "task": [key[1].as_py()], "counts": [zstandard.ZstdCompressor(1).compress(small.tobytes())]})
 
 
 def _stretch(table: pa.Table) -> pa.Table:
     """Counts to predictions: the logit of the estimate, in sixteenths, one signed byte per slot."""
-    import zstandard
-
-    n = np.frombuffer(zstandard.ZstdDecompressor().decompress(_add_chunks(table).column("counts")[0].as_py()), np.uint8)
-    n = n.view(np.uint32 if len(n) == 8 * CHUNK else np.uint64).reshape(-1, 2).astype(np.float64)
+    n = _sum_of(table).reshape(-1, 2).astype(np.float64)
     logit = np.log(n[:, 1] + 0.4) - np.log(n[:, 0] + 0.4)
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "logit": pa.array([np.clip(np.rint(logit * 16), -127, 127).astype(np.int8).tobytes()], pa.binary())})
 
@@ -241,76 +278,103 @@ def _stretch(table: pa.Table) -> pa.Table:
 #: Sureness of a signed byte: 0 never seen or balanced, 1 seen about once, 2 more.
 _SURE = np.array([0 if abs(x) < 6 else 1 if abs(x) < 22 else 2 for x in np.arange(256).astype(np.uint8).view(np.int8).astype(int)], np.int16)
 _SURE3, _SEEN9 = _SURE * 3, (_SURE > 0).astype(np.int16) * 9
+#: Probability that a signed byte of sixteenths stands for.
+_SIGMA = 1 / (1 + np.exp(-np.arange(256).astype(np.uint8).view(np.int8) / 16))
+#: Inputs that the gate looks at: 4 bytes, 6 bytes, the word.
+_FOUR, _SIX, _WORD = 2, 3, 4
+
+
+def _gate(got: np.ndarray) -> np.ndarray:
+    """Of rows of hashed predictions."""
+    bytes_ = got.view(np.uint8)
+    gate = _SURE3.take(bytes_[:, _FOUR - 1])
+    gate += _SURE.take(bytes_[:, _WORD - 1])
+    gate += _SEEN9.take(bytes_[:, _SIX - 1])
+    return gate
+
+
+def _key(gate: np.ndarray, hint: np.ndarray, got: np.ndarray, weights: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """gate, quantised mixed logit and bit as one number. ``weights``: GATES x INPUTS in 1/256; whole numbers, so that every machine agrees."""
+    half, unit = LEVELS // 2, int(STEP * 16 * 256)
+    z = weights[:, 0].take(gate)
+    z *= hint
+    terms = weights[:, 1:].take(gate, axis=0)
+    terms *= got
+    for k in range(INPUTS - 1):
+        z += terms[:, k]
+    z += unit // 2
+    z >>= unit.bit_length() - 1  # a power of two
+    np.clip(z, -half, half, out=z)
+    z += half
+    z += gate * np.int32(LEVELS)
+    z += z
+    z += bit
+    return z
 
 
 class Model:
-    """The frozen model: trees, tables of predictions, weights per gate, and costs after correction."""
+    """The frozen model: trees, table of predictions, weights per gate (in 1/256), and costs after correction."""
 
-    def __init__(self, trees: Trees, tables: list[np.ndarray], weights: np.ndarray | None = None, costs: np.ndarray | None = None):
-        self.trees, self.tables = trees, tables
-        self.weights = np.full((GATES, 4), 0.35) if weights is None else weights
+    def __init__(self, trees: Trees, bits: tuple[int, ...], table: np.ndarray, weights: np.ndarray | None = None, costs: np.ndarray | None = None):
+        self.trees, self.bits, self.table = trees, bits, table
+        self.weights = np.full((GATES, INPUTS), round(START * 256), np.int32) if weights is None else np.rint(weights * 256).astype(np.int32)
         self.costs = costs
 
-    def inputs(self, ev: Events) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Gate and the four predictions of each decision."""
-        got = [t.take(s) for t, s in zip(self.tables, ev.slots, strict=True)]
-        gate = _SURE3.take(got[1].view(np.uint8))
-        gate += _SURE.take(got[3].view(np.uint8))
-        gate += _SEEN9.take(got[2].view(np.uint8))
-        return gate, got
-
-    def level(self, gate: np.ndarray, got: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-        """gate and quantised mixed logit as one number."""
-        half = LEVELS // 2
-        z = None
-        for k in range(4):
-            term = np.ascontiguousarray(weights[:, k] / (16 * STEP), np.float32).take(gate)
-            term *= got[k]
-            z = term if z is None else np.add(z, term, out=z)
-        np.clip(z, -half, half, out=z)
-        z += half + 0.5  # not negative, so that cutting rounds
-        level = z.astype(np.int16)
-        level += gate * np.int16(LEVELS)
-        return level
+    def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, Events]:
+        """log10 probability of each decision's bit."""
+        ev = Events(texts, self.trees, self.bits)
+        got = self.table.take(ev.slots)
+        return self.costs.take(_key(_gate(got), ev.hint, got, self.weights, ev.bit)), ev
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability."""
-        ev = Events(texts, self.trees)
-        key = self.level(*self.inputs(ev), self.weights)
-        key += key
-        key += ev.bit
-        return np.add.reduceat(self.costs.take(key), ev.of_text)
+        cost, ev = self.decisions(texts)
+        return np.add.reduceat(cost, ev.of_text)
+
+
+class Online:
+    """Weights, predictor states and correction counts that learn from one step of decisions after another."""
+
+    def __init__(self, model: Model):
+        self.table = model.table.astype(np.float32) / 16  # logits
+        self.w = model.weights / 256
+        self.hist = np.zeros(GATES * LEVELS * 2, np.int64)
+        self.seen = 0
+
+    def learn(self, hint: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> None:
+        got = np.clip(np.rint(self.table.take(slots) * 16), -127, 127).astype(np.int8)
+        logits = got / 16
+        gate = _gate(got)
+        self.hist += np.bincount(_key(gate, hint, got, np.rint(self.w * 256).astype(np.int32), bit), minlength=len(self.hist))
+        x = np.empty((len(bit), INPUTS))
+        x[:, 0], x[:, 1:] = hint / 16, logits
+        miss = bit - 1 / (1 + np.exp(-(self.w.take(gate, axis=0) * x).sum(axis=1)))
+        n = np.bincount(gate, minlength=GATES)[:, None]
+        gradient = np.stack([np.bincount(gate, miss * x[:, k], minlength=GATES) for k in range(INPUTS)], axis=1) / np.maximum(n, 1)
+        self.w += RATE * np.minimum(n / 64, 1) * gradient
+        # each predictor by its own error
+        np.add.at(self.table, slots.ravel().astype(np.intp), (MOVE * (bit[:, None] - _SIGMA.take(got.view(np.uint8)))).astype(np.float32).ravel())
+        self.seen += len(bit)
 
 
 def _mixer(model):
-    """Online training of the weights, then the correction counts under the weights reached."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        w = m.weights.copy()
-        hist = np.zeros(GATES * LEVELS * 2, np.int64)
-        seen = 0
+        online = None
         for _, texts in _blocks(batches, 0):
-            ev = Events(texts, m.trees)
-            gate, got = m.inputs(ev)
-            x = np.stack(got, axis=1).astype(np.float64) / 16
-            for a in range(0, len(gate), 4096):
-                g, xs, y = gate[a : a + 4096], x[a : a + 4096], ev.bit[a : a + 4096]
-                err = y - 1 / (1 + np.exp(-(w[g] * xs).sum(axis=1)))
-                n = np.maximum(np.bincount(g, minlength=GATES), 1)[:, None]
-                grad = np.stack([np.bincount(g, err * xs[:, k], minlength=GATES) for k in range(4)], axis=1) / n
-                w += RATE * np.minimum(n / 64, 1) * grad
-            hist += np.bincount(m.level(gate, got, w).astype(np.int64) * 2 + ev.bit, minlength=len(hist))
-            seen += len(gate)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(GATES * 4 + len(hist))), pa.array(np.concatenate([w.ravel() * seen, hist.astype(np.float64)])), pa.array([float(seen)] * (GATES * 4 + len(hist)))], names=["k", "total", "seen"]
-        )
+            online = online or Online(m)
+            ev = Events(texts, m.trees, m.bits)
+            for a in range(0, len(ev.bit), BATCH):
+                online.learn(ev.hint[a : a + BATCH], ev.slots[a : a + BATCH], ev.bit[a : a + BATCH])
+        if online:
+            total = np.concatenate([online.w.ravel() * online.seen, online.hist.astype(np.float64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array([float(online.seen)] * len(total))], names=["k", "total", "seen"])
 
     return run
 
 
 def _costs(hist: np.ndarray) -> np.ndarray:
-    """log10 probability of each bit per gate and level: half the mixed logit, half what the map has learned of it."""
+    """log10 probability of each bit per gate and level: a quarter the mixed logit, the rest what the map has learned of it."""
     z = np.tile((np.arange(LEVELS) - LEVELS // 2) * STEP, GATES)
     n = hist.reshape(-1, 2)
     prior = 1 / (1 + np.exp(-z))
@@ -365,20 +429,27 @@ _SCORED = ["place", "id", "held_out", "n_tokens", "hits", "base", "score", "tail
 _SENT = "chunk long, task long, counts binary"
 
 
-def _added(sent: DataFrame) -> DataFrame:
-    """The chunks of up to 128 tasks as one."""
-    return sent.groupBy("chunk", F.floor(F.col("task") / 128).alias("g")).applyInArrow(_add_chunks, _SENT)
+def _added(docs: DataFrame, counting, scratch: Scratch, name: str) -> DataFrame:
+    """Sums of the chunks that ``counting`` makes of the documents, in rounds of at most FAN_IN tables each."""
+    sent, k = docs.select("text").mapInArrow(counting, _SENT), 0
+    while True:
+        group = F.floor(F.col("task") / FAN_IN).alias("g")
+        now = scratch.write(sent.groupBy("chunk", group).applyInArrow(_add_chunks, _SENT), f"{name}{k}")
+        if k:
+            scratch.drop(sent)
+        if (now.agg(F.max("task")).first()[0] or 0) < FAN_IN:
+            return now
+        sent, k = now, k + 1
 
 
-def _predictions(sums: DataFrame, scratch: Scratch, name: str) -> list[np.ndarray]:
-    """The tables of predictions that the sums of all chunks give."""
-    tables = [np.zeros(1 << bits, np.int8) for bits in TABLE_BITS]
+def _predictions(sums: DataFrame, bits: tuple[int, ...], scratch: Scratch, name: str) -> np.ndarray:
+    """The table of predictions that the sums of all chunks give."""
+    table = np.zeros(offsets(bits)[1], np.int8)
     logits = scratch.write(sums.groupBy("chunk").applyInArrow(_stretch, "chunk long, logit binary"), name)
-    for chunk, logit in logits.toLocalIterator():  # bounded by TABLE_BITS
-        at = (chunk & 0xFFFF) * CHUNK
-        tables[chunk >> 16][at : at + CHUNK] = np.frombuffer(logit, np.int8)
+    for chunk, logit in logits.toLocalIterator():  # bounded by MOST_BITS
+        table[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(logit, np.int8)
     scratch.drop(logits)
-    return tables
+    return table
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,21 +480,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         least = e
     head = {bytes(r["token"]): r["c"] for r in vocabulary.where(eighth >= least).collect()}  # at most HEAD rows
 
-    shared = sc.broadcast(trees)
-    counting = _chunk_counter(shared)
-    some = scratch.write(_added(train.where(~mixing).select("text").mapInArrow(counting, _SENT)), "sums")
-    tables = _predictions(some, scratch, "logits0")
-
-    first = sc.broadcast(Model(trees, tables))
+    bits = table_bits(int(pairs.sum()))
+    counting = _chunk_counter(sc.broadcast(trees), bits)
+    some = _added(train.where(~mixing), counting, scratch, "some")
+    first = sc.broadcast(Model(trees, bits, _predictions(some, bits, scratch, "logits0")))
     mixed = train.where(mixing).select("text").mapInArrow(_mixer(first), "k long, total double, seen double").groupBy("k").agg(F.sum("total").alias("t"), F.sum("seen").alias("s")).collect()
-    flat, seen = np.zeros(GATES * 4 + GATES * LEVELS * 2), 0.0
+    flat, seen = np.zeros(GATES * INPUTS + GATES * LEVELS * 2), 0.0
     for k, t, s in mixed:
         flat[k], seen = t, s
-    weights = flat[: GATES * 4].reshape(GATES, 4) / seen if seen else None
+    weights = flat[: GATES * INPUTS].reshape(GATES, INPUTS) / seen if seen else None
     first.unpersist()
     # the weights are fitted: now the documents that fitted them join the counts
-    rest = scratch.write(_added(train.where(mixing).select("text").mapInArrow(counting, _SENT)), "rest")
-    model = Model(trees, _predictions(some.unionByName(rest), scratch, "logits"), weights, _costs(flat[GATES * 4 :]))
+    rest = _added(train.where(mixing), counting, scratch, "rest")
+    model = Model(trees, bits, _predictions(some.unionByName(rest), bits, scratch, "logits"), weights, _costs(flat[GATES * INPUTS :]))
     scratch.drop(some, rest)
 
     parts = T.StructType(
