@@ -259,7 +259,7 @@ def _sum_of(table: pa.Table) -> np.ndarray:
     return total
 
 
-def _add_chunks(key, table: pa.Table) -> pa.Table:
+def _add_chunks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The chunks of a group as one; the group's number stands for its tasks."""
     import zstandard
 
