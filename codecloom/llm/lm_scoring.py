@@ -1,13 +1,13 @@
 """Scoring texts with a logistic context-mixing model over bits, learned from the corpus.
 
-A byte (or the end of the text) is spelled as a path in a binary tree chosen by the byte before it (a Huffman tree of the training
-counts), so that few decisions are left per byte. Each decision is predicted from the byte before (the tree's own counts) and in four hashed
+A byte (or the end of the text) is spelled as a path in a binary tree chosen by the two bytes before it, where they are frequent, or else by the one
+before it (a Huffman tree of the training counts), so that few decisions are left per byte. Each decision is predicted by the tree's own counts and in four hashed
 contexts: the last 2, 4 and 6 bytes, and the whole word read so far (lower-cased). A gate (how sure the longest contexts are) selects the
 weights that mix the predictions in the logistic domain, and an adaptive map per gate corrects the mixed probability.
 
 Learning runs on Spark over all training documents, in passes that each leave a written table:
 
-1. Counts of tokens (for the base score) and of byte pairs (for the trees): partial counts per task, then an aggregation.
+1. Counts of tokens (for the base score) and of bytes behind two others (for the trees): partial counts per task, then an aggregation.
 2. Counts of decisions per hashed slot: each task sums its documents into a fixed table and sends it in compressed chunks; chunks add
    up in rounds of at most ``FAN_IN``. Slots grow with the square root of the training bytes, up to ``MOST_BITS`` per context: the memory
    that a worker gives to the model is the bound (``table_bits``). Beyond it contexts share slots.
@@ -52,6 +52,8 @@ FAN_IN = 64
 HEAD = 1 << 17
 END = 256
 PAD = 6
+#: Two bytes have a tree of their own where they stand before more than one in so many training bytes, which bounds the trees.
+TREE_SHARE = 4096
 #: Bytes that are worked on at once, and decisions per step of the online training.
 BLOCK, BATCH = 1 << 16, 2048
 #: Inputs of the mixing: the byte before, then the hashed contexts. Units: predictions 1/16, weights 1/256, levels STEP.
@@ -86,41 +88,41 @@ def offsets(bits: tuple[int, ...]) -> tuple[list[int], int]:
 
 
 class Trees:
-    """Paths of (byte before, symbol): decision nodes, bits and what the tree's counts predict, flat."""
-
-    def __init__(self, pairs: np.ndarray):
-        """``pairs``: 256 x 257 counts."""
-        self.length = np.zeros((256, 257), np.int64)
-        self.start = np.zeros((256, 257), np.int64)
-        flat: list[np.ndarray] = []
-        hints: list[np.ndarray] = []
-        at = 0
-        for before in range(256):
-            w = pairs[before].astype(np.float64)
+    """Paths of symbols in each tree: decision nodes, bits and what the tree's counts predict, flat; and the tree of each two bytes."""
+
+    def __init__(self, pairs: np.ndarray, more: dict[int, np.ndarray] | None = None):
+        """``pairs``: counts of the 257 symbols behind each byte; ``more``: behind two bytes, the last one times 256 plus the one before it."""
+        more = more or {}
+        self.tree = np.repeat(np.arange(256, dtype=np.int32), 256)
+        self.tree[list(more)] = np.arange(256, 256 + len(more))
+        counts = np.concatenate([pairs, *(x[None] for x in more.values())]).astype(np.float64)
+        self.length, self.start = (np.zeros((len(counts), 257), np.int32) for _ in range(2))
+        steps: list[int] = []
+        hints: list[int] = []
+        for tree, w in enumerate(counts):
             w = w + max(w.sum(), 1) * 1e-6 / 257  # symbols never seen here can be spelled too
             heap = [(x, s) for s, x in enumerate(w.tolist())]
             heapq.heapify(heap)
-            kids: dict[int, tuple[int, int]] = {}
+            above: dict[int, tuple[int, int]] = {}  # of each node: the one above, and the step down from there
             hint: dict[int, int] = {}
             node = 257
             while len(heap) > 1:
                 a, b = heapq.heappop(heap), heapq.heappop(heap)
-                kids[node] = (a[1], b[1])
+                above[a[1]], above[b[1]] = (node, (node - 257) << 1), (node, (node - 257) << 1 | 1)
                 hint[node - 257] = round(max(-127.0, min(127.0, 16 * math.log(b[0] / a[0]))))
                 heapq.heappush(heap, (a[0] + b[0], node))
                 node += 1
-            todo = [(heap[0][1], ())]
-            while todo:
-                n, path = todo.pop()
-                if n < 257:
-                    self.length[before, n], self.start[before, n] = len(path), at
-                    flat.append(np.array(path, np.int64))
-                    hints.append(np.array([hint[p >> 1] for p in path], np.int8))
-                    at += len(path)
-                else:
-                    todo += [(k, (*path, (n - 257) << 1 | bit)) for bit, k in enumerate(kids[n])]
-        self.steps, self.hints = np.concatenate(flat).astype(np.int16), np.concatenate(hints)
-        self.length, self.start = self.length.ravel().astype(np.int32), self.start.ravel().astype(np.int32)
+            for s in range(257):
+                path = []
+                at = s
+                while at in above:
+                    at, step = above[at]
+                    path.append(step)
+                self.length[tree, s], self.start[tree, s] = len(path), len(steps)
+                steps += path[::-1]
+                hints += [hint[p >> 1] for p in path[::-1]]
+        self.steps, self.hints = np.array(steps, np.int16), np.array(hints, np.int8)
+        self.length, self.start = self.length.ravel(), self.start.ravel()
 
 
 def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +150,9 @@ class Events:
         size = np.array([len(t) + 1 for t in texts], np.int64)
         ends = np.cumsum(size + PAD) - PAD - 1
         past = np.ndarray((n,), "<u8", raw, 0, (1,)).copy()  # the eight bytes before each place, the last one on top
-        pair = (past >> np.uint64(56)).astype(np.int32) * 257 + s
-        pair[ends] += END  # these bytes are 0
-        many = trees.length.take(pair)
+        symbol = trees.tree.take((past >> np.uint64(48)).astype(np.intp)) * 257 + s
+        symbol[ends] += END  # these bytes are 0
+        many = trees.length.take(symbol)
         many[(ends[:-1, None] + 1 + np.arange(PAD)).ravel()] = 0
         # the whole word so far, lower-cased: differences of a running polynomial
         place = np.arange(1, n + 1, dtype=np.int32)
@@ -164,10 +166,10 @@ class Events:
         total = np.cumsum(many)
         # the byte that each decision belongs to, and its place in the trees' paths
         owner = np.zeros(int(total[-1]), np.int32)
-        np.add.at(owner, total[:-1][many[1:] > 0], np.diff(np.flatnonzero(many)).astype(np.int32))
+        owner[total[:-1][many[1:] > 0]] = np.diff(np.flatnonzero(many))
         owner[0] = np.flatnonzero(many)[0]
         owner = np.cumsum(owner)
-        path = (trees.start.take(pair) - (total - many)).take(owner)
+        path = (trees.start.take(symbol) - (total - many)).take(owner)
         path += np.arange(len(path), dtype=path.dtype)
         step = trees.steps.take(path)
         self.hint = trees.hints.take(path)
@@ -200,9 +202,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token and count; the end mark is the empty token; keys that begin with a blank hold a byte pair."""
+    """token and count; the end mark is the empty token; keys that begin with a blank hold a symbol behind two bytes."""
     words: Counter = Counter()
-    pairs = np.zeros(256 * 257, np.int64)
+    triples = None
 
     def out() -> pa.RecordBatch:
         rec = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], names=["token", "c"])
@@ -213,17 +215,22 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for raw in texts:
             words.update(raw.lower().split())
         words[b""] += len(texts)
-        # every byte and end after the byte before it; a text begins behind a 0
-        s = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
-        pair = s[:-1].astype(np.int32) * 257 + s[1:]
-        ends = np.cumsum(np.array([len(t) + 1 for t in texts])) - 1
-        pair[ends] += END
-        pairs += np.bincount(pair, minlength=256 * 257)
+        # every byte and end behind the two bytes before it; a text begins behind two zeros
+        s = np.frombuffer(b"\0\0" + b"\0\0".join(texts) + b"\0", np.uint8).astype(np.int32)
+        symbol = ((s[1:-1] << 8) + s[:-2]) * 257 + s[2:]
+        ends = np.cumsum(np.array([len(t) + 2 for t in texts])) - 2
+        symbol[ends] += END
+        if triples is None:
+            triples = np.zeros(257 << 16, np.uint32)
+        np.add.at(triples, np.delete(symbol, ends[:-1] + 1), np.uint32(1))
         if len(words) > _FLUSH:
             yield out()
-    for k in np.flatnonzero(pairs):
-        words[b" " + int(k).to_bytes(4, "big")] = int(pairs[k])
     yield out()
+    if triples is not None:
+        found = np.flatnonzero(triples)
+        for at in range(0, len(found), 50_000):
+            part = found[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([b" " + k.to_bytes(4, "big") for k in part.tolist()], pa.binary()), pa.array(triples[part].astype(np.int64))], names=["token", "c"])
 
 
 def _chunk_counter(trees, bits):
@@ -452,6 +459,21 @@ def _predictions(sums: DataFrame, bits: tuple[int, ...], scratch: Scratch, name:
     return table
 
 
+def _trees(triples: DataFrame) -> tuple[Trees, int]:
+    """The trees that counts (k, c) of symbols behind two bytes give, and the number of symbols."""
+    pairs = np.zeros(256 * 257, np.int64)
+    behind = F.floor(F.col("k") / 257)
+    for k, c in triples.groupBy((F.floor(F.col("k") / (257 * 256)) * 257 + F.col("k") % 257).alias("k")).agg(F.sum("c")).collect():  # at most a row per byte and symbol
+        pairs[k] = c
+    whole = int(pairs.sum())
+    frequent = triples.groupBy(behind.alias("two")).agg(F.sum("c").alias("n")).where(F.col("n") > whole // TREE_SHARE).select("two")  # fewer than TREE_SHARE
+    frequent = [r.two for r in frequent.collect() if not _SPACE[r.two >> 8]]  # words begin in one tree
+    more = {two: np.zeros(257, np.int64) for two in sorted(frequent)}
+    for k, c in triples.where(behind.isin(frequent)).collect() if more else ():
+        more[k // 257][k % 257] = c
+    return Trees(pairs.reshape(256, 257), more), whole
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits (the same as total bits)."""
     spark = docs.sparkSession
@@ -464,10 +486,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     counted = scratch.write(train.select("text").mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
     pair = F.substring("token", 1, 1) == F.lit(b" ")
-    pairs = np.zeros(256 * 257, np.int64)
-    for token, c in counted.where(pair).collect():  # at most one row per byte pair
-        pairs[int.from_bytes(bytes(token)[1:], "big")] = c
-    trees = Trees(pairs.reshape(256, 257))
+    trees, n_bytes = _trees(counted.where(pair).select(F.conv(F.hex(F.substring("token", 2, 4)), 16, 10).cast("long").alias("k"), "c"))
     vocabulary = counted.where(~pair)
     n_train, n_distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # counts by eighths of a power of two: a few hundred rows tell from which count on there are at most HEAD tokens
@@ -480,7 +499,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         least = e
     head = {bytes(r["token"]): r["c"] for r in vocabulary.where(eighth >= least).collect()}  # at most HEAD rows
 
-    bits = table_bits(int(pairs.sum()))
+    bits = table_bits(n_bytes)
     counting = _chunk_counter(sc.broadcast(trees), bits)
     some = _added(train.where(~mixing), counting, scratch, "some")
     first = sc.broadcast(Model(trees, bits, _predictions(some, bits, scratch, "logits0")))

@@ -53,7 +53,7 @@ def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = quotations.with_quotations(_read(spark, sf_dir, "conversations"))
     out = quotations.link_quotations(mail)
-    return out.select("conv_id", "turn", "role", F.md5(F.col("own_text").cast("binary")).alias("own_md5"), "n_quotes", "max_level", F.col("parent_order").alias("parent_turn"), F.col("root_order").alias("root_turn"), "depth")
+    return out.select("conv_id", "turn", "role", F.md5(F.col("own_text").cast("binary")).alias("own_md5"), "n_quotes", "max_level", F.col("parent_order").alias("parent_turn"), F.col("root_order").alias("root_turn"), "depth", "position")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,18 +107,30 @@ _NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 ORACLE_SQL = {
     "op9_licence_scan": _licence_sql(),
     "op7_quotation_linking": rf"""
-        WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, {_NORMAL.format("text")} AS norm FROM conversations),
+        WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, {_NORMAL.format("text")} AS norm, (turn + conv_id) % 4 AS kind FROM conversations),
+        p AS (SELECT c.*, p1.text AS t1, p2.text AS t2 FROM c
+              LEFT JOIN c p1 ON p1.conv_id = c.conv_id AND p1.turn = c.turn - 1 LEFT JOIN c p2 ON p2.conv_id = c.conv_id AND p2.turn = c.turn - 2),
+        q AS (SELECT conv_id, turn, unnest(CASE kind WHEN 0 THEN [{{'level': 2, 'spot': 1, 'text': t2}}, {{'level': 1, 'spot': 2, 'text': t1}}]
+                  WHEN 1 THEN [{{'level': 1, 'spot': 0, 'text': split_part(t1, chr(10), 1)}}]
+                  WHEN 2 THEN [{{'level': 1, 'spot': 0, 'text': split_part(t1, chr(10), -1)}}, {{'level': 1, 'spot': 3, 'text': split_part(t2, chr(10), 1)}}] ELSE [] END, recursive := true) FROM p),
+        quoted AS (SELECT *, {_NORMAL.format("text")} AS norm FROM q WHERE regexp_matches(coalesce(text, ''), '\S')),
         o AS (SELECT conv_id, norm, min(turn) AS original FROM c WHERE norm <> '' GROUP BY ALL),
-        l AS (SELECT c.conv_id, c.turn, c.role, c.text, p1.turn IS NOT NULL AND p1.norm <> '' AS q1, p2.turn IS NOT NULL AND p2.norm <> '' AS q2,
-                     coalesce(o1.original, o2.original) AS parent
-              FROM c LEFT JOIN c p1 ON p1.conv_id = c.conv_id AND p1.turn = c.turn - 1 LEFT JOIN c p2 ON p2.conv_id = c.conv_id AND p2.turn = c.turn - 2
-              LEFT JOIN o o1 ON o1.conv_id = c.conv_id AND o1.norm = p1.norm LEFT JOIN o o2 ON o2.conv_id = c.conv_id AND o2.norm = p2.norm),
-        r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM l WHERE parent IS NULL
-              UNION ALL SELECT l.conv_id, l.turn, r.root, r.depth + 1 FROM l JOIN r ON l.conv_id = r.conv_id AND l.parent = r.turn)
-        SELECT l.conv_id, l.turn, l.role, md5(regexp_replace(l.text, '^
-+|\s+$', '', 'g')) AS own_md5, (q1::INT + q2::INT)::BIGINT AS n_quotes,
-               CASE WHEN q2 THEN 2 WHEN q1 THEN 1 ELSE 0 END::BIGINT AS max_level, l.parent AS parent_turn, r.root AS root_turn, r.depth::BIGINT AS depth
-        FROM l JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn""",
+        whole AS (SELECT quoted.*, CASE WHEN original < turn THEN original END AS original FROM quoted LEFT JOIN o USING (conv_id, norm)),
+        parts AS (SELECT conv_id, turn, 2 AS kind, unnest(string_split(regexp_replace(text, '^\n+|\s+$', '', 'g'), chr(10))) AS part FROM c
+            UNION ALL SELECT conv_id, turn, 1, unnest(regexp_split_to_array(regexp_replace(text, '^\n+|\s+$', '', 'g'), '\n[ \t\r]*\n')) FROM c),
+        po AS (SELECT conv_id, kind, {_NORMAL.format("part")} AS norm, min(turn) AS original FROM parts WHERE regexp_matches(part, '\S') GROUP BY ALL),
+        w AS (SELECT conv_id, turn, level, spot, 2 AS kind, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS place FROM whole WHERE original IS NULL
+            UNION ALL SELECT conv_id, turn, level, spot, 1, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')), unnest(range(len(regexp_split_to_array(text, '\n[ \t\r]*\n')))) FROM whole WHERE original IS NULL),
+        l AS (SELECT conv_id, turn, level, spot, 0 AS kind, 0 AS place, original FROM whole WHERE original IS NOT NULL
+            UNION ALL SELECT w.conv_id, turn, level, spot, w.kind, place, original FROM w JOIN po ON po.conv_id = w.conv_id AND po.kind = w.kind AND po.norm = {_NORMAL.format("w.part")} WHERE regexp_matches(part, '\S') AND original < turn),
+        best AS (SELECT conv_id, turn, original AS parent FROM l QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, spot, kind, place) = 1),
+        m AS (SELECT p.conv_id, p.turn, p.role, p.text, p.kind, best.parent, coalesce(s.n, 0) AS n_quotes, coalesce(s.level, 0) AS max_level FROM p LEFT JOIN best USING (conv_id, turn)
+              LEFT JOIN (SELECT conv_id, turn, count(*) AS n, max(level) AS level FROM quoted GROUP BY ALL) s USING (conv_id, turn)),
+        r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM m WHERE parent IS NULL
+              UNION ALL SELECT m.conv_id, m.turn, r.root, r.depth + 1 FROM m JOIN r ON m.conv_id = r.conv_id AND m.parent = r.turn)
+        SELECT m.conv_id, m.turn, m.role, md5(regexp_replace(m.text, '^\n+|\s+$', '', 'g')) AS own_md5, m.n_quotes::BIGINT AS n_quotes, m.max_level::BIGINT AS max_level,
+               m.parent AS parent_turn, r.root AS root_turn, r.depth::BIGINT AS depth, rank() OVER (PARTITION BY m.conv_id, r.root ORDER BY m.turn)::BIGINT AS position
+        FROM m JOIN r ON m.conv_id = r.conv_id AND m.turn = r.turn""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AND row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,

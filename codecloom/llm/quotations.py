@@ -52,16 +52,17 @@ def _own(marked: Column) -> Column:
 
 
 def _passages(marked: Column) -> Column:
-    """(level, text) of each run of quoted lines of one level."""
+    """(level, at, text) of each run of quoted lines of one level. A run ends where the next one, of whatever level, starts."""
     n = F.size(marked)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(marked, i)["level"] > 0) & ((i == 0) | (F.get(marked, i)["level"] != F.get(marked, i - 1)["level"])))
-    breaks = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(marked, i)["level"] != F.get(marked, i - 1)["level"]))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(marked, i)["level"] != F.get(marked, i - 1)["level"]))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))
 
-    def run(s: Column) -> Column:
-        end = F.get(F.filter(breaks, lambda e: e > s), F.lit(0))
-        return F.struct(F.get(marked, s)["level"].alias("level"), s.alias("at"), F.array_join(F.transform(F.slice(marked, s + 1, end - s), lambda x: x["line"]), "\n").alias("text"))
+    def run(s: Column, e: Column) -> Column:
+        level = F.get(marked, s)["level"]
+        lines = F.when(level > 0, F.array_join(F.transform(F.slice(marked, s + 1, e - s), lambda x: x["line"]), "\n"))
+        return F.struct(level.alias("level"), s.alias("at"), lines.alias("text"))
 
-    return F.filter(F.transform(starts, run), lambda p: p["text"].rlike(r"\S"))
+    return F.filter(F.zip_with(starts, ends, run), lambda p: F.coalesce(p["text"].rlike(r"\S"), F.lit(False)))
 
 
 def _hash(text: Column) -> Column:
@@ -121,7 +122,12 @@ def link_quotations(messages: DataFrame, thread_col: str = "conv_id", order_col:
 
 
 def with_quotations(turns: DataFrame) -> DataFrame:
-    """Conversations as mail: each turn behind the quoted turn before it, and that behind the quoted one before it, one level deeper."""
+    """Conversations as mail, of four kinds by the turn's number and its conversation's:
+
+    0: the quoted turn before, below an attribution, and that behind the quoted one before it, one level deeper;
+    1: the first line of the turn before, then the text; 2: the text between the last line of the turn before and the first of the one before that;
+    3: no quotation.
+    """
     before = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("t"))
 
     def quote(text: Column, marks: str) -> Column:
@@ -130,5 +136,13 @@ def with_quotations(turns: DataFrame) -> DataFrame:
     one = before.select(F.col("conv_id").alias("c1"), (F.col("turn") + 1).alias("n1"), F.col("t").alias("t1"))
     two = before.select(F.col("conv_id").alias("c2"), (F.col("turn") + 2).alias("n2"), F.col("t").alias("t2"))
     joined = turns.join(one, (turns["conv_id"] == one["c1"]) & (turns["turn"] == one["n1"]), "left").join(two, (turns["conv_id"] == two["c2"]) & (turns["turn"] == two["n2"]), "left")
-    mail = F.concat_ws("\n", F.when(F.col("t1").isNotNull(), F.lit("They wrote:")), quote(F.col("t2"), "> > "), quote(F.col("t1"), "> "), F.col("text"))
+    first, last = (lambda c: F.substring_index(c, "\n", 1)), (lambda c: F.substring_index(c, "\n", -1))
+    t1, t2 = F.col("t1"), F.col("t2")
+    kind = F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4))
+    mail = (
+        F.when(kind == 0, F.concat_ws("\n", F.when(t1.isNotNull(), F.lit("They wrote:")), quote(t2, "> > "), quote(t1, "> "), F.col("text")))
+        .when(kind == 1, F.concat_ws("\n", quote(first(t1), "> "), F.col("text")))
+        .when(kind == 2, F.concat_ws("\n", quote(last(t1), "> "), F.col("text"), quote(first(t2), "> ")))
+        .otherwise(F.col("text"))
+    )
     return joined.select("conv_id", "turn", "role", mail.alias("text"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -168,7 +169,7 @@ def test_scores_base(sample, sample_rows):
 
 def some_model(seed):
     rng = np.random.default_rng(seed)
-    trees, bits = lm_scoring.Trees(rng.integers(0, 50, (256, 257))), lm_scoring.table_bits(0)
+    trees, bits = lm_scoring.Trees(rng.integers(0, 50, (256, 257)), {ord("b") << 8 | ord("a"): rng.integers(0, 9, 257), 0: rng.integers(0, 9, 257)}), lm_scoring.table_bits(0)
     table = rng.integers(-60, 60, lm_scoring.offsets(bits)[1]).astype(np.int8)
     return lm_scoring.Model(trees, bits, table, costs=lm_scoring._costs(np.zeros(lm_scoring.GATES * lm_scoring.LEVELS * 2)))
 
@@ -179,7 +180,8 @@ def test_scores_are_probabilities():
 
     def before_end(text):
         cost, _ = model.decisions([text])
-        return 10 ** cost[: len(cost) - model.trees.length[(text[-1] if text else 0) * 257 + lm_scoring.END]].sum()
+        two = bytes(2) + text
+        return 10 ** cost[: len(cost) - model.trees.length[model.trees.tree[two[-1] << 8 | two[-2]] * 257 + lm_scoring.END]].sum()
 
     for before in (b"", b"ab"):
         # the probability of a text that goes on with s is that of its bytes without its end mark
@@ -219,12 +221,14 @@ class PlainModel:
         train = [(i, t) for i, t in docs if crc[i] % 7 != 2]
         fold = [t for i, t in train if crc[i] // 7 % lm_scoring.MIX_FOLD == 0]
         rest = [t for i, t in train if crc[i] // 7 % lm_scoring.MIX_FOLD]
-        pairs = np.zeros((256, 257), np.int64)
+        pairs, more = np.zeros((256, 257), np.int64), collections.defaultdict(lambda: np.zeros(257, np.int64))
         for _, t in train:
-            for a, b in zip(b"\0" + t, [*t, 256], strict=True):
-                pairs[a, b] += 1
-        self.trees = lm_scoring.Trees(pairs)
-        self.bits = lm_scoring.table_bits(int(pairs.sum()))
+            for a, b, c in zip(b"\0\0" + t, b"\0" + t, [*t, 256], strict=False):
+                pairs[b, c] += 1
+                more[b << 8 | a][c] += 1
+        n = int(pairs.sum())
+        self.trees = lm_scoring.Trees(pairs, {k: x for k, x in sorted(more.items()) if x.sum() > n // lm_scoring.TREE_SHARE and k >> 8 not in b" \t\n\v\f\r"})
+        self.bits = lm_scoring.table_bits(n)
         self.counts = collections.defaultdict(lambda: [0, 0])
         for t in rest:
             self.count(t)
@@ -250,7 +254,7 @@ class PlainModel:
                 word = (word + (c + 1) * pow(WORD_BASE, j, 1 << 64)) % (1 << 64)
             word ^= past[-1] << 56
             symbol = text[k] if k < len(text) else 256
-            at = past[-1] * 257 + symbol
+            at = int(self.trees.tree[past[-1] << 8 | past[-2]]) * 257 + symbol
             for p in range(self.trees.start[at], self.trees.start[at] + self.trees.length[at]):
                 step = int(self.trees.steps[p])
                 salt = ((step >> 1) + 1) * NODE % (1 << 32)
@@ -311,6 +315,7 @@ def test_scores_equal_the_plain_model(spark, monkeypatch):
     """Every score to the last digits, learned and scored one bit at a time; steps small enough for several of them."""
     monkeypatch.setattr(lm_scoring, "BATCH", 100)
     monkeypatch.setattr(lm_scoring, "MIX_FOLD", 4)
+    monkeypatch.setattr(lm_scoring, "TREE_SHARE", 60)
     rng = random.Random(7)
     words = ["The", "the", "of", "Zürich", "alpha", "beta-gamma", "x1", "漢字", "abcdefghijkl"]
     rows = [(k, "".join(rng.choice(words) + rng.choice([" ", " ", "\n", ", "]) for _ in range(rng.randrange(25)))) for k in range(60)]
@@ -444,6 +449,58 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert few.where("not kept").count() == 0
 
 
+def plain_verdicts(features, labels, folds):
+    """kept by id. features: rows with id, stratum and COUNTS; labels: (id, quality); folds: id to a or b."""
+    good = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            good[i] = min(good.get(i, 1), int(q > 0))
+
+    def cells(r):
+        share = [(r.n_symbols, r.word_chars), (r.n_dup_lines, r.n_lines), (r.n_repeat_words, r.n_words), (r.n_upper, r.n_words)]
+        return [min(quality.GRID, math.ceil(a / b * quality.GRID - 1e-9)) if b else 0 for a, b in share]
+
+    def failed(r):
+        return r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+
+    seen = collections.defaultdict(list)
+    for r in features:
+        if r.id in good and not failed(r):
+            for rule, c in enumerate(cells(r)):
+                seen[r.stratum, rule].append((c, good[r.id], folds[r.id]))
+    best = {}
+    for key, rows in seen.items():
+        worth = max((sum(c > cut and not g and f == "a" for c, g, f in rows) - quality.PRICE * sum(c > cut and g and f == "a" for c, g, f in rows), cut) for cut in range(quality.GRID + 1))
+        if worth[0] > 0:
+            best[key] = worth[1]
+    cuts = {}
+    for (stratum, rule), least in best.items():
+        certify = [c for c, g, f in seen[stratum, rule] if g and f == "b"]
+        alpha = quality.ALPHA / sum(s == stratum for s, _ in best)
+        for cut in range(quality.GRID, least - 1, -1):
+            k, n = sum(c > cut for c in certify), len(certify)
+            if sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > quality.DELTA / len(best):
+                break
+            cuts[stratum, rule] = cut
+    return {r.id: not failed(r) and not any(c > cuts.get((r.stratum, rule), quality.GRID) for rule, c in enumerate(cells(r))) for r in features}
+
+
+def check_verdicts(got, docs, labels):
+    fold = F.when(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(100)) < quality.SELECT, "a").otherwise("b").alias("fold")
+    folds = {r.doc_id: r.fold for r in docs.select("doc_id", fold).collect()}
+    want = plain_verdicts(got, [(r.doc_id, r.quality) for r in labels.collect()], folds)
+    assert {r.id: r.kept for r in got} == want
+    return want
+
+
+def test_quality_verdicts_equal_the_plain_selection(spark):
+    for sf in ("sf0.001", "sf0.1"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        want = check_verdicts(quality.quality_verdicts(docs, labels).collect(), docs, labels)
+    kept = {r.doc_id for r in quality.quality_filter(docs, labels).select("doc_id").collect()}
+    assert kept == {i for i, k in want.items() if k}
+
+
 def test_quality_filter_keeps_columns(docs, empty, spark):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (1, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     out = quality.quality_filter(docs, labels)
@@ -597,6 +654,14 @@ def test_quotations_in_part(spark):
     }
 
 
+def test_quotations_of_many_levels(spark):
+    """16,000 lines of alternating levels are parsed in time proportional to their number."""
+    text = "\n".join("> " * (1 + k % 2) + f"line {k}" for k in range(16_000))
+    began = time.monotonic()
+    got = quotations.link_quotations(spark.createDataFrame([(1, 1, "line 7"), (1, 2, text)], "conv_id long, turn long, text string")).where("turn = 2").first()
+    assert (got.n_quotes, got.parent_order) == (16_000, 1) and time.monotonic() - began < 60
+
+
 # mixing
 
 
