@@ -7,7 +7,7 @@ within the bounds below, if the text shares enough bigrams with it at all. A uni
 and digits; its distinct bigrams are compared with a template's only if the sizes allow the threshold at all: with ``a`` and ``b``
 bigrams Dice is at most ``2 min(a, b) / (a + b)``. By the same bound a match shares so many of a template's bigrams that it must hold one
 of any set that leaves fewer out; so a few key words, chosen from the templates, occur in every text and unit that can match, and
-all others are dropped before they are split. Templates are a small fixed list inside the expression: nothing is joined and no key can be hot.
+all others are dropped before they are split. Templates (a parameter; ``templates_of`` reads a table) are part of the expression: nothing is joined and no key can be hot.
 
 Results in odd cases: null and empty texts, and units of fewer than two words, match nothing. Of several units matching one template in a
 document the best counts, equals by the first line; windows count only without any such unit, the best one, equals by the first. Repeated rows are reported each. An empty table gives no rows. Extra columns are
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-#: Licence notices as they are put into files.
+#: Licence notices as they are put into files, and some whole licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -44,7 +44,46 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "mit-full": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-3-clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+        "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        'from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE '
+        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib-full": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone "
+        "to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
 }
+#: A table of more templates than this is refused: they are part of the expression, not joined.
+MOST_TEMPLATES = 1_000
+
+
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates from a table (name, text), for ``scan_licences``."""
+    rows = table.select("name", "text").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return {r.name: r.text for r in rows if r.name is not None and len(words_of(r.text or "")) > 1}
 
 
 def words_of(text: str) -> list[str]:
@@ -56,13 +95,13 @@ def _grams(text: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:], strict=False))
 
 
-def key_words(threshold: float) -> list[str]:
+def key_words(threshold: float, templates: dict[str, str] = TEMPLATES) -> list[str]:
     """Words of which every unit that reaches the threshold for some template holds one.
 
     Of ``n`` bigrams a match shares ``need = ceil(threshold / (2 - threshold) * n)`` at least, so it holds one of any ``n - need + 1``.
     """
     left = {}
-    for name, text in TEMPLATES.items():
+    for name, text in templates.items():
         g = _grams(text)
         left[name] = [g, len(g) - math.ceil(threshold / (2 - threshold) * len(g) - 1e-9) + 1]
     chosen: list[str] = []
@@ -82,9 +121,9 @@ def key_words(threshold: float) -> list[str]:
     return chosen
 
 
-def _template_rows(threshold: float) -> Column:
+def _template_rows(threshold: float, templates: dict[str, str]) -> Column:
     rows = []
-    for name, text in TEMPLATES.items():
+    for name, text in templates.items():
         w = words_of(text)
         grams = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
         n, ratio = len(grams), threshold / (2 - threshold)
@@ -137,12 +176,13 @@ def _line_of_word(text: Column, place: Column) -> Column:
     return F.aggregate(counts, zero, lambda a, c: F.struct((a["seen"] + c).alias("seen"), (a["line"] + F.when(a["seen"] + c <= place, 1).otherwise(0)).alias("line")))["line"]
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row per document and template found: id, licence, line (of the best unit, from 0), dice."""
-    sizes = [len(_grams(text)) for text in TEMPLATES.values()]
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
+    """A row per document and template found: id, licence, line (of the best unit, from 0), dice. ``templates``: texts by name (of two words or more), TEMPLATES by default."""
+    templates = templates or TEMPLATES
+    sizes = [len(_grams(text)) for text in templates.values()]
     low, high = threshold / (2 - threshold) * min(sizes), (2 - threshold) / threshold * max(sizes)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    keys = "|".join(key_words(threshold))
+    keys = "|".join(key_words(threshold, templates))
     rows = rows.where(F.lower("text").rlike(keys))
     units = rows.select("id", "row", F.explode(_units(F.col("text"))).alias("u")).where(F.lower("u.unit").rlike(keys))
     # a unit has at least as many words as bigrams and one; far longer ones cannot come down to a template's size unless they repeat
@@ -156,7 +196,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units = units.select("id", "row", "line", "whole_text", F.when(whole, F.col("all")).alias("all"), once(F.array_distinct("all")).alias("g")).where(whole | F.size("g").between(low, high))
     t = threshold
     fits = F.filter(
-        _template_rows(t),
+        _template_rows(t, templates),
         lambda x: F.when(whole, F.size(F.array_intersect(F.col("g"), x["grams"])) >= x["least"]).otherwise((2 * F.least(x["n"], F.size("g"))) >= t * (x["n"] + F.size("g"))),
     )
     pairs = units.select("id", "row", "line", "whole_text", "all", "g", F.explode(fits).alias("x"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import BitFilter, Scratch
 from .words import WordHashes, mix64, run_hashes
 
 BANDS, ROWS = 48, 6
@@ -320,6 +320,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows that stay, one document of each group, with all their columns."""
-    gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows that stay, one document of each group, with all their columns. Rows are told to stay or go in the scan, by bit filters over the ids; only those
+    that both filters hold are moved."""
+    scratch = Scratch(docs.sparkSession, "near")
+    groups = scratch.write(near_groups(docs, id_col, text_col, **how).select("id", "kept"), "groups")
+    gone = BitFilter(groups.where("not kept").select("id").distinct(), ["id"], scratch, "gone-bits")
+    doubt = scratch.write(gone.mark(groups.where("kept").select("id").distinct(), "looks_gone", "id").where("looks_gone").select("id"), "doubt")
+    stay = BitFilter(doubt, ["id"], scratch, "stay-bits")
+    asked = gone.mark(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id")), "maybe_gone", "id")
+    open_ = stay.mark(asked.where("maybe_gone"), "maybe_stays", "id").where("maybe_stays")
+    told = open_.join(doubt, open_["id"].eqNullSafe(doubt["id"]), "left_semi").select("row")
+    return asked.where("not maybe_gone").select("row").unionByName(told).select("row.*")

@@ -13,7 +13,7 @@
 Thread and order identify a message. Results in odd cases: null or empty texts have no passages and an empty own text, and nothing links to
 them. A quotation of nothing in its thread, of only a part of a line, or only of later messages, links to nothing. Messages repeated with one thread and order are
 rows of their own with the same links. Rows with a null thread or order link to nothing. An empty table gives no rows. Extra columns
-pass through, whatever their names.
+pass through; a column called as one of the results gives way to it.
 """
 
 from __future__ import annotations
@@ -114,8 +114,9 @@ def link_quotations(messages: DataFrame, thread_col: str = "conv_id", order_col:
             break
     tree = links.join(step.select("thread", "order", "anc", "up"), ["thread", "order"]).select(F.col("thread").alias("t"), F.col("order").alias("o"), "parent", "anc", "up")
     out = base.join(tree, (base["thread"] == tree["t"]) & (base["order"] == tree["o"]), "left")
+    own = ("own_text", "n_quotes", "max_level", "parent_order", "root_order", "depth", "position")
     return out.select(
-        "row.*", "own_text", F.size("passages").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("max_level"),
+        *(F.col("row")[c].alias(c) for c in messages.columns if c not in own), "own_text", F.size("passages").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("max_level"),
         F.col("parent").alias("parent_order"), F.coalesce("anc", "order").alias("root_order"), F.coalesce("up", F.lit(0)).cast("long").alias("depth"),
         F.when(F.col("thread").isNotNull() & F.col("order").isNotNull(), F.rank().over(Window.partitionBy("thread", F.coalesce("anc", "order")).orderBy("order"))).cast("long").alias("position"),
     )

@@ -634,6 +634,8 @@ def test_quotations(spark):
     assert got[1, 2].n_quotes == 2 and got[2, 0].parent_order is None
     assert got[1, 0].level == "a"
     assert quotations.link_quotations(out.select("conv_id", "turn", "text").limit(0)).count() == 0
+    again = quotations.link_quotations(out)
+    assert again.columns == out.columns and again.where("turn = 1").first().depth == 1
 
 
 def test_quotations_in_part(spark):
@@ -817,6 +819,13 @@ def test_licences_within_longer_text(spark):
     assert got[0, "mit"] == (1, 1.0) and got[1, "mit-permission"] == (3, 1.0)
 
 
+def test_licences_from_a_table(spark):
+    table = spark.createDataFrame([("house", "Use it as you like, but do not sell the house wine."), ("", None), (None, "no name here")], "name string, text string")
+    docs = spark.createDataFrame([(1, "Hello.\nUse it as you like but do not sell the house wine\n"), (2, licences.TEMPLATES["mit"])], "doc_id long, text string")
+    got = licences.scan_licences(docs, templates=licences.templates_of(table)).collect()
+    assert [(r.id, r.licence, r.line, r.dice) for r in got] == [(1, "house", 1, 1.0)]
+
+
 def test_licence_key_words_lose_nothing():
     """Any unit at the threshold holds a key word: checked for every template with its key-word bigrams taken out."""
     keys = licences.key_words(licences.THRESHOLD)
@@ -855,8 +864,8 @@ def test_near_odd_rows(docs, rows, empty):
     for width in (4, 5):
         assert near_rows(docs, width=width) == plain_near([(r[0], r[1]) for r in rows], width, 80)
     assert near_dedup.near_groups(empty).count() == 0
-    out = near_dedup.near_dedup(docs)
-    assert out.columns == docs.columns
+    out = near_dedup.near_dedup(docs.withColumn("row", F.lit(1)).withColumn("__gone", F.lit(2)))
+    assert out.columns == [*docs.columns, "row", "__gone"]
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 10, 11, 4, 5, 6, 7, 8, None, None]
 
 
