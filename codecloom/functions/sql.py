@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import codecs, header
+from ..kernels.limits import CodecError
 from .columns import _HEADER, HEADER
 
 
@@ -24,7 +25,7 @@ def register(spark: SparkSession) -> list[str]:
             for x in a.to_pylist():
                 try:
                     out.append(None if x is None else kernel(x))
-                except Exception:  # noqa: BLE001
+                except (CodecError, ValueError):
                     out.append(None)
             return pa.array(out, arrow)
 

@@ -76,6 +76,23 @@ def _zstd_decompressor(dictionary: bytes | None) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary is not None else zstandard.ZstdDecompressor()
 
 
+#: Most that zstd makes of four bytes: a block of one repeated byte.
+_ZSTD_BLOCK = 1 << 17
+
+
+def inflate_zstd(d: zstandard.ZstdDecompressionObj, data: bytes, cap: int, out: bytearray) -> bytes:
+    """Appends what ``d`` makes of ``data`` to ``out``, up to the frame's end or a little beyond ``cap`` bytes; gives back what follows the frame.
+
+    The object cannot be told a size, so it is fed slices that cannot hold much more than there is room for.
+    """
+    at, view = 0, memoryview(data)
+    while at < len(data) and not d.eof and len(out) <= cap:
+        size = max(64, min(1 << 16, (cap - len(out)) * 4 // _ZSTD_BLOCK))
+        out += d.decompress(view[at : at + size])
+        at += size
+    return d.unused_data + bytes(view[at:]) if d.eof else b""
+
+
 def zstd_compress(data: bytes, level: int = 3, dictionary: bytes | None = None) -> bytes:
     return _zstd_compressor(level, dictionary).compress(data)
 
@@ -98,12 +115,11 @@ def zstd_decompress(data: bytes, cap: int | None = None, dictionary: bytes | Non
         out = bytearray()
         while data:
             d = _zstd_decompressor(dictionary).decompressobj()
-            out += d.decompress(data)
+            data = inflate_zstd(d, data, cap, out)
             if len(out) > cap:
                 raise failed(context, "Destination buffer is too small")
             if not d.eof:
                 raise failed(context, "Src size is incorrect")
-            data = d.unused_data
         return bytes(out)
     except zstandard.ZstdError as e:
         raise failed(context, e) from None

@@ -33,13 +33,17 @@ def zstd_train_dictionary(df: DataFrame, col: Column | str, max_dict_size=None,
     """One dictionary for the table, as bytes on the driver."""
     size = MAX_DICTIONARY if max_dict_size is None else capacity_of(max_dict_size)
     c = F.col(col) if isinstance(col, str) else col
-    picked = df.select(c.cast("binary").alias("data")).where("data is not null").orderBy(F.xxhash64("data"), "data").limit(max_samples)
-    samples, held = [], 0
-    for (data,) in picked.collect():  # at most max_samples rows
-        held += len(data)
+    data = df.select(c.cast("binary").alias("data")).where(F.octet_length("data") <= max_bytes).withColumn("h", F.xxhash64("data"))
+    # lengths first: they tell how many samples fit max_bytes, and only those come
+    lengths = data.select("h", F.octet_length("data").alias("n")).orderBy("h", "n").limit(max_samples).collect()
+    held = fit = 0
+    for row in lengths:
+        held += row.n
         if held > max_bytes:
             break
-        samples.append(bytes(data))
+        fit += 1
+    last = lengths[fit - 1].h if fit else -(2**63)
+    samples = [bytes(r.data) for r in data.where(F.col("h") <= last).orderBy("h", F.octet_length("data"), "data").limit(fit).collect()]
     return _train(samples, size)
 
 

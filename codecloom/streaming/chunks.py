@@ -25,8 +25,8 @@ def _context(codec: str, direction: str, level, max_output_size, dictionary) ->
 def stream_codec(df: DataFrame, id_col: str, seq_col: str, chunk_col: str, codec: str, direction: str, level=None, max_output_size=None, dictionary: bytes | None = None) -> DataFrame:
     """id, seq, chunk: the non-empty output chunks of each stream, numbered from 0.
 
-    Rows are dealt by stream and sorted, then pass through a task one batch at a time: only codec state is held, but brotli and
-    LZ4 hold the whole stream until its end. (A stream is sequential by nature; many streams run in parallel.) ``codec`` may be ``auto`` to decompress.
+    Rows are dealt by stream and sorted, then pass through a task one batch at a time: only codec state is held, but brotli
+    at a given quality holds its whole input, and brotli and LZ4 decompression the whole compressed stream, until its end. (A stream is sequential by nature; many streams run in parallel.) ``codec`` may be ``auto`` to decompress.
     A null chunk counts as empty. Bad arguments raise here.
     """
     _context(codec, direction, level, max_output_size, dictionary)

@@ -5,8 +5,10 @@
 
 from __future__ import annotations
 
+import io
 import zlib
 
+import pyarrow as pa
 import zstandard
 
 from ..kernels import codecs
@@ -74,20 +76,60 @@ class ZstdCompress(Context):
         return self.z.flush()
 
 
-class BufferedCompress(Context):
-    """brotli or an LZ4 frame: Arrow's stream objects cannot be drained between chunks, so the input is held until the end."""
+class _Sink(io.RawIOBase):
+    """What a compressing stream has written since it was last emptied."""
 
-    def __init__(self, codec: str, level: int | None = None):
+    def __init__(self):
+        self.held = bytearray()
+
+    def writable(self):
+        return True
+
+    def write(self, data):
+        self.held += data
+        return len(data)
+
+    def drain(self) -> bytes:
+        out, self.held = bytes(self.held), bytearray()
+        return out
+
+
+class ArrowCompress(Context):
+    """brotli at Arrow's own quality, or an LZ4 frame, through Arrow's output stream: what it has written leaves with each chunk."""
+
+    def __init__(self, codec: str):
         super().__init__(f"{codec} compress context")
-        self.codec, self.level, self.held = codec, level_of(codec, level), bytearray()
+        self.sink = _Sink()
+        self.stream = pa.CompressedOutputStream(pa.PythonFile(self.sink, mode="w"), codec)
+
+    def _transform(self, chunk):
+        self.stream.write(chunk)
+        return self.sink.drain()
+
+    def _flush(self):
+        self.stream.flush()
+        return self.sink.drain()
+
+    def _finish(self):
+        out = self.sink
+        out.close = lambda: None  # closing the stream closes its file, which has to be read first
+        self.stream.close()
+        return out.drain()
+
+
+class BrotliCompress(Context):
+    """brotli at a given quality: Arrow's output stream takes none, so the input is held until the end."""
+
+    def __init__(self, level: int):
+        super().__init__("brotli compress context")
+        self.level, self.held = level_of("brotli", level), bytearray()
 
     def _transform(self, chunk):
         self.held += chunk
         return b""
 
     def _finish(self):
-        data = bytes(self.held)
-        return codecs.brotli_compress(data, self.level) if self.codec == "brotli" else codecs.lz4_compress(data)
+        return codecs.brotli_compress(bytes(self.held), self.level)
 
 
 class Decompress(Context):
@@ -119,12 +161,16 @@ class Decompress(Context):
             while data:
                 self.z = self.z or self._new()
                 self.any = True
-                out += self.z.decompress(data, self.cap + 1 - self.total - len(out)) if self.codec != "zstd" else self.z.decompress(data)
+                rest = b""
+                if self.codec == "zstd":
+                    rest = codecs.inflate_zstd(self.z, data, self.cap - self.total, out)
+                else:
+                    out += self.z.decompress(data, self.cap + 1 - self.total - len(out))
                 if self.total + len(out) > self.cap:
                     raise SizeLimitError(f"{self.codec} decompress", self.cap)
                 if not self.z.eof:
                     break
-                data = self.z.unused_data if self.codec != "deflate" else b""
+                data = {"zstd": rest, "deflate": b""}.get(self.codec, self.z.unused_data)
                 self.z = None
         except (zlib.error, zstandard.ZstdError) as e:
             raise failed(f"{self.codec} decompress", e) from None
@@ -148,15 +194,16 @@ class AutoDecompress(Context):
 
     def __init__(self, max_output_size=None):
         super().__init__("decompress context")
-        self.limit, self.inner, self.held = max_output_size, None, b""
+        self.limit, self.inner, self.held = max_output_size, None, bytearray()
         max_output_of(max_output_size)
 
     def _start(self) -> bytes:
-        kind = codecs.detect(self.held)
+        data = bytes(self.held)
+        kind = codecs.detect(data)
         if kind == "unknown":
             raise failed("decompress", "unable to detect compression format from stream data")
         self.inner = Decompress(kind, self.limit)
-        return self.inner.transform(self.held)
+        return self.inner.transform(data)
 
     def _transform(self, chunk):
         if self.inner:
@@ -180,7 +227,9 @@ def compressor(codec: str, level: int | None = None, dictionary: bytes | None =
         raise NotImplementedError(f"{codec} with a dictionary: no library at hand offers it")
     if codec in ("gzip", "deflate"):
         return DeflateCompress(codec, level)
-    return ZstdCompress(level, dictionary) if codec == "zstd" else BufferedCompress(codec, level)
+    if codec == "zstd":
+        return ZstdCompress(level, dictionary)
+    return BrotliCompress(level) if codec == "brotli" and level is not None else ArrowCompress(codec)
 
 
 def decompressor(codec: str, max_output_size=None, dictionary: bytes | None = None) -> Context:

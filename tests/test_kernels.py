@@ -190,3 +190,44 @@ def test_dictionary():
     assert codecs.zstd_decompress(ctx.transform(one) + ctx.finish(), None, trained) == one
     with pytest.raises(NotImplementedError):
         contexts.compressor("brotli", dictionary=trained)
+
+
+def test_zstd_bomb_is_stopped_at_its_cap():
+    """A frame without a size in its header that inflates to 4 GB, against a cap of some bytes: memory stays small."""
+    import resource
+
+
+
+    press = zstandard.ZstdCompressor(3).compressobj()
+    bomb = b"".join([press.compress(bytes(1 << 20)) for _ in range(4000)] + [press.flush()])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    with pytest.raises(limits.CodecError, match="Destination buffer is too small"):
+        codecs.zstd_decompress(bomb, 1000)
+    with pytest.raises(limits.SizeLimitError):
+        contexts.decompressor("zstd", 5000).transform(bomb)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 64 * 1024
+
+
+@pytest.mark.parametrize("codec", ["brotli", "lz4"])
+def test_streams_emit_before_their_end(codec):
+    import os
+
+
+    data = b"".join(os.urandom(1 << 14) + b"again and again " * 2000 for _ in range(40))
+    ctx = contexts.compressor(codec)
+    parts = [ctx.transform(data[k : k + 50_000]) for k in range(0, len(data), 50_000)]
+    early = b"".join(parts) + ctx.flush()
+    assert len(early) > 200_000
+    assert codecs.DECOMPRESS[codec](early + ctx.finish()) == data
+    empty = contexts.compressor(codec)
+    done = contexts.decompressor(codec)
+    assert done.transform(empty.finish()) + done.finish() == b""
+
+
+def test_zstd_frames_in_small_chunks():
+
+    data = bytes(range(256)) * 5000
+    two = codecs.zstd_compress(b"abc") + codecs.zstd_compress(data)
+    ctx = contexts.decompressor("zstd")
+    assert b"".join([*(ctx.transform(two[k : k + 777]) for k in range(0, len(two), 777)), ctx.finish()]) == b"abc" + data
+    assert codecs.zstd_decompress(two, 1 << 24) == b"abc" + data
