@@ -11,7 +11,7 @@
    that fit whole before one that is cut at the window's end; what is cut off seeds the next window. Only a shard's last window is
    not full.
 
-The retrieval terms are token ids: they need no second parsing and bound the frequency table. Ids that more than a quarter of all fragments
+The retrieval terms are token ids: they need no second parsing and bound the frequency table. Ids that more than a sixteenth of all fragments
 hold are stop words and retrieve nothing.
 
 Results in odd cases: null and empty texts are documents of one id, the end mark. Null document ids stay null and repeated rows are packed as rows of
@@ -41,7 +41,7 @@ SHARD_TOKENS = 1_500_000
 #: Rarest terms by which fragments are dealt to shards.
 LEADING = 3
 #: A term in more than one of so many fragments is a stop word.
-STOP = 4
+STOP = 16
 #: Characters of a text that the encoder is given at once, about; it fails on runs of a million blanks.
 LONG = 100_000
 K1, B = 1.2, 0.75
@@ -150,12 +150,23 @@ def _cutter(vocabulary: dict, window: int, with_ids: bool):
 _ARROW = [pa.field(n, pa.int64()) for n in ("start", "length", "doc_tokens", "crc")] + [pa.field("ids", pa.binary()), pa.field("place", pa.int64())]
 
 
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch's fragments, and where each fragment's begin."""
+    parts = [x.as_py() for x in column]
+    size = np.array([len(x) for x in parts], np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), np.cumsum(size) - size
+
+
 def _frequencies(kind, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total[np.unique(np.frombuffer(x.as_py(), kind))] += 1
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                ids, starts = _flat(whole.column(0).slice(at, 256), kind)
+                # fragment and id in one number, so that one sort finds the distinct ones of all
+                key = np.repeat(np.arange(len(starts), dtype=np.int64), np.diff([*starts, len(ids)])) * size + ids
+                key.sort()
+                total += np.bincount(key[np.concatenate([[True], key[1:] != key[:-1]])] % size, minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "df"])
 
@@ -163,20 +174,26 @@ def _frequencies(kind, size: int):
 
 
 def _dealer(frequencies, kind):
-    """place and key: the LEADING rarest terms that other fragments have too, in one sortable number."""
+    """The rows with their key: the LEADING rarest terms that other fragments have too, in one sortable number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = frequencies.value
+        none = (1 << 20) - 1
         rank = np.empty(len(df), np.int64)
         rank[np.lexsort((np.arange(len(df)), df))] = np.arange(len(df))
-        for b in batches:
-            keys = []
-            for x in b.column(b.num_columns - 1):
-                t = np.unique(np.frombuffer(x.as_py(), kind))
-                r = rank[t[df[t] > 1]]
-                r = np.sort(np.partition(r, LEADING)[:LEADING] if len(r) > LEADING else r)
-                keys.append(sum(int(v) + 1 << 20 * (LEADING - 1 - k) for k, v in enumerate(r)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "key"])
+        rank[df < 2] = none
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                ids, starts = _flat(b.column(b.num_columns - 1), kind)
+                left = rank.take(ids)
+                size = np.diff([*starts, len(ids)])
+                key = np.zeros(len(starts), np.int64)
+                for _ in range(LEADING):
+                    least = np.minimum.reduceat(left, starts)
+                    key = key << 20 | least
+                    left = np.where(left == np.repeat(least, size), none, left)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=[*b.schema.names, "key"])
 
     return run
 
@@ -204,16 +221,21 @@ class Shard:
         self.ends = np.searchsorted(t, np.arange(len(idf) + 1))
         self.unused = np.ones(n, bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """All unused fragments that share a term with the seed, best BM25 score first; ties by place."""
-        found = [slice(self.ends[t], self.ends[t + 1]) for t in self.terms[seed]]
-        if not found:
-            return np.zeros(0, np.int64)
-        docs = np.concatenate([self.docs[s] for s in found])
-        score = np.bincount(docs, np.concatenate([self.weights[s] for s in found]), minlength=len(self.unused))
+    def neighbours(self, seed: int) -> Iterator[np.ndarray]:
+        """All unused fragments that share a term with the seed, best BM25 score first, ties by place: the first dozens, then the others."""
+        t = self.terms[seed]
+        first, size = self.ends[t], self.ends[t + 1] - self.ends[t]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        score = np.bincount(self.docs.take(at), self.weights.take(at), minlength=len(self.unused))
         score[~self.unused] = 0
         top = np.flatnonzero(score)
-        return top[np.argsort(-score[top], kind="stable")]
+        if len(top) > 64:
+            near = score[top] >= np.partition(score[top], len(top) - 64)[len(top) - 64]
+            parts = top[near], top[~near]
+        else:
+            parts = (top,)
+        for part in parts:
+            yield part[np.argsort(-score[part], kind="stable")]
 
     def windows(self, size: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (fragment, from, to) that fill windows; every id in exactly one."""
@@ -231,19 +253,22 @@ class Shard:
             cut = None
             out = [(seed, start, len(self.fragments[seed]))]
             room = size - (len(self.fragments[seed]) - start)
-            ranked = self.neighbours(seed) if room else np.zeros(0, np.int64)
-            left = self.sizes[ranked]
-            place = 0
-            while room:  # the best neighbour that fits whole, as long as there is one
-                fits = np.flatnonzero(left[place:] <= room)
-                if not len(fits):
+            passed = []
+            for ranked in self.neighbours(seed) if room else ():
+                passed.append(ranked)
+                left, place = self.sizes[ranked], 0
+                while room:  # the best neighbour that fits whole, as long as there is one
+                    fits = np.flatnonzero(left[place:] <= room)
+                    if not len(fits):
+                        break
+                    place += int(fits[0]) + 1
+                    d = int(ranked[place - 1])
+                    self.unused[d] = False
+                    out.append((d, 0, len(self.fragments[d])))
+                    room -= len(self.fragments[d])
+                if not room:
                     break
-                place += int(fits[0]) + 1
-                d = int(ranked[place - 1])
-                self.unused[d] = False
-                out.append((d, 0, len(self.fragments[d])))
-                room -= len(self.fragments[d])
-            waiting = iter(ranked)
+            waiting = iter(np.concatenate(passed)) if passed and room else iter(())
             while room:  # then the best that does not is cut; without one, the next fragment in order comes
                 d = next((int(x) for x in waiting if self.unused[x]), -1)
                 if d < 0:
@@ -285,7 +310,7 @@ def _packer(frequencies, kind, n_docs: int, mean: float, window: int, with_ids:
         from pyspark import TaskContext
 
         df = frequencies.value
-        idf = np.where(df * STOP > max(n_docs, 2 * STOP), 0.0, np.log1p((n_docs - df + 0.5) / (df + 0.5)))
+        idf = np.where(df * STOP > max(n_docs, 8 * STOP), 0.0, np.log1p((n_docs - df + 0.5) / (df + 0.5)))
         number = TaskContext.get().partitionId() << 33
         held: list[pa.RecordBatch] = []
         tokens = 0
