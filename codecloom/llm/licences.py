@@ -136,14 +136,11 @@ def _units(text: Column) -> Column:
     """(line, text) of each line, of each paragraph of several lines at its first line, and of the whole text at line -1."""
     lines = F.split(text, "\n")
     single = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("line"), x.alias("unit")))
-    blocks = F.split(text, r"\n[ \t\r]*\n")
+    # every line carries its number while the text is split at empty lines, so a block knows its first line
+    numbered = F.array_join(F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit("\x01"), x)), "\n")
+    blocks = F.split(numbered, r"\n\d+\x01[ \t\r]*\n")
     long_blocks = F.filter(blocks, lambda b: F.contains(b, F.lit("\n")))
-    # a block's first line: the line breaks before it
-    def line_of(block: Column) -> Column:
-        before = F.substring(text, F.lit(1), F.position(block, text) - 1)
-        return (F.length(before) - F.length(F.regexp_replace(before, "\n", ""))).cast("long")
-
-    several = F.transform(long_blocks, lambda b: F.struct(line_of(b).alias("line"), b.alias("unit")))
+    several = F.transform(long_blocks, lambda b: F.struct(F.regexp_extract(b, r"^(\d+)\x01", 1).cast("long").alias("line"), F.regexp_replace(b, r"(?m)^\d+\x01", "").alias("unit")))
     return F.concat(single, several, F.array(F.struct(F.lit(-1).cast("long").alias("line"), text.alias("unit"))))
 
 
@@ -151,9 +148,9 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
-def _dice(grams: Column, x: Column) -> Column:
-    """Of distinct bigrams and a template."""
-    return 2 * F.size(F.array_intersect(grams, x["grams"])) / (x["n"] + F.size(grams))
+def _dice(grams: Column, x: Column, known: Column | None = None) -> Column:
+    """Of distinct bigrams and a template. ``known``: those of the bigrams that any template holds."""
+    return 2 * F.size(F.array_intersect(grams if known is None else known, x["grams"])) / (x["n"] + F.size(grams))
 
 
 def _best_window(grams: Column, x: Column) -> Column:
@@ -182,7 +179,10 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = [len(_grams(text)) for text in templates.values()]
     low, high = threshold / (2 - threshold) * min(sizes), (2 - threshold) / threshold * max(sizes)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    keys = "|".join(key_words(threshold, templates))
+    # whole words only; the look behind it lets the pattern fail at once within words
+    keys = f"(?<![a-z0-9])(?:{'|'.join(key_words(threshold, templates))})(?![a-z0-9])"
+    every = F.array(*map(F.lit, sorted({f"{a} {b}" for text in templates.values() for a, b in _grams(text)})))
+    least = min(math.ceil(threshold / (2 - threshold) * n - 1e-9) for n in sizes)
     rows = rows.where(F.lower("text").rlike(keys))
     units = rows.select("id", "row", F.explode(_units(F.col("text"))).alias("u")).where(F.lower("u.unit").rlike(keys))
     # a unit has at least as many words as bigrams and one; far longer ones cannot come down to a template's size unless they repeat
@@ -194,13 +194,15 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     units = units.select("id", "row", "line", "whole_text", once(grams).alias("all"))
     units = units.select("id", "row", "line", "whole_text", F.when(whole, F.col("all")).alias("all"), once(F.array_distinct("all")).alias("g")).where(whole | F.size("g").between(low, high))
+    # a match shares so many bigrams with its template, so as many with all of them
+    units = units.select("*", once(F.array_intersect("g", every)).alias("known")).where(F.size("known") >= least)
     t = threshold
     fits = F.filter(
         _template_rows(t, templates),
-        lambda x: F.when(whole, F.size(F.array_intersect(F.col("g"), x["grams"])) >= x["least"]).otherwise((2 * F.least(x["n"], F.size("g"))) >= t * (x["n"] + F.size("g"))),
+        lambda x: F.when(whole, F.size(F.array_intersect(F.col("known"), x["grams"])) >= x["least"]).otherwise((2 * F.least(x["n"], F.size("g"))) >= t * (x["n"] + F.size("g"))),
     )
-    pairs = units.select("id", "row", "line", "whole_text", "all", "g", F.explode(fits).alias("x"))
-    found = F.when(whole, _best_window(F.col("all"), F.col("x"))).otherwise(F.struct(_dice(F.col("g"), F.col("x")).alias("dice"), F.lit(0).alias("before")))
+    pairs = units.select("id", "row", "line", "whole_text", "all", "g", "known", F.explode(fits).alias("x"))
+    found = F.when(whole, _best_window(F.col("all"), F.col("x"))).otherwise(F.struct(_dice(F.col("g"), F.col("x"), F.col("known")).alias("dice"), F.lit(0).alias("before")))
     hits = pairs.select("id", "row", "line", "whole_text", F.col("x.name").alias("licence"), once(found).alias("s")).where(F.col("s.dice") >= t)
     # a unit's line counts before any window
     hits = hits.select("id", "row", "licence", "s.dice", F.when(whole, 0).otherwise(1).alias("unit"), F.when(whole, _line_of_word(F.col("whole_text"), -F.col("s.before"))).otherwise(F.col("line")).alias("line"))

@@ -93,9 +93,11 @@ def _licence_sql() -> str:
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
         WITH t AS (SELECT name, {grams} AS b FROM (SELECT name, {words.format("body")} AS w FROM (VALUES {rows}) v(name, body))),
-        blocks AS (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS unit FROM documents),
+        cut AS (SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS b FROM documents),
+        blocks AS (SELECT doc_id, unit, coalesce(sum(length(unit) - length(replace(unit, chr(10), '')) + 2) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line
+            FROM (SELECT doc_id, r, unnest(b) AS unit, unnest(range(0, len(b))) AS k FROM cut)),
         units AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents
-            UNION ALL SELECT doc_id, unit, length(regexp_replace(text[:strpos(text, unit) - 1], '[^\\n]', '', 'g')) FROM blocks WHERE contains(unit, chr(10))),
+            UNION ALL SELECT doc_id, unit, line FROM blocks WHERE contains(unit, chr(10))),
         g AS (SELECT doc_id, line, {grams} AS a FROM (SELECT doc_id, line, {words.format("unit")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 400),
         s AS (SELECT doc_id, name AS licence, line, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM g, t WHERE 2 * least(len(a), len(b)) >= {licences.THRESHOLD} * (len(a) + len(b)))
         SELECT doc_id, licence, line::BIGINT AS line, round(dice, 9) AS dice FROM s WHERE dice >= {licences.THRESHOLD}

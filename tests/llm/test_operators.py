@@ -772,8 +772,8 @@ def plain_licences(text):
     at = 0
     for block in re.split(r"\n[ \t\r]*\n", text or ""):
         if "\n" in block:
-            units.append(((text or "").split(block, 1)[0].count("\n"), block))
-        at += 1
+            units.append((at, block))
+        at += block.count("\n") + 2
     for line, unit in units:
         g = licences._grams(unit)
         for name, template in licences.TEMPLATES.items():
@@ -788,6 +788,8 @@ def test_licences(spark, docs, empty):
     mit = licences.TEMPLATES["mit-permission"]
     broken = mit.replace(", ", ",\n", 3)
     texts = ["x\n" + broken + "\n\nend", "Released UNDER the mit license", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY NC 4.0", "nothing here", None, "", mit[:80], "* " + licences.TEMPLATES["gpl-3.0-notice"] + " *"]
+    # a block that also stands within an earlier, longer one, behind several empty lines; white space in empty lines
+    texts += ["\n\n \t\n" + broken + "\n" + "many other words here\n" * 60 + "\n \n\n\n" + broken + "\r\n\n" + broken, "\x01 7\x01\n" + broken + "\n8\x01\n"]
     got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r.id, r.licence, r.line, round(r.dice, 9)) for r in got} == {(i, *x) for i, t in enumerate(texts) for x in plain_licences(t)}
     assert {"mit-permission", "mit", "cc-by-nc-4.0", "gpl-3.0-notice"} <= {r.licence for r in got}
@@ -831,7 +833,7 @@ def test_licence_key_words_lose_nothing():
     keys = licences.key_words(licences.THRESHOLD)
     for text in licences.TEMPLATES.values():
         g = licences._grams(text)
-        rest = {p for p in g if not any(k in w for k in keys for w in p)}
+        rest = {p for p in g if not any(k in p for k in keys)}
         assert 2 * len(rest) / (len(g) + len(rest)) < licences.THRESHOLD
 
 
