@@ -60,7 +60,7 @@ def _add_round_trips() -> None:
             turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
             packed = chunks.stream_codec(turns, "conv_id", "turn", "text", codec, "compress")
             back = chunks.stream_codec(packed, "id", "seq", "chunk", codec, "decompress")
-            return blobs.from_chunks(back).select(F.col("id").alias("conv_id"), F.md5("data").alias("digest"), F.octet_length("data").cast("long").alias("raw_len"))
+            return chunks.stream_digests(back).withColumnsRenamed({"id": "conv_id", "length": "raw_len"})
 
         query(
             f"stream_{codec}",
@@ -139,15 +139,15 @@ def stream_auto(spark, sf_dir):
         one = chunks.stream_codec(turns.where(F.pmod("conv_id", F.lit(4)) == i), "conv_id", "turn", "text", codec, "compress")
         packed = one if packed is None else packed.unionByName(one)
     back = chunks.stream_codec(packed, "id", "seq", "chunk", "auto", "decompress")
-    return blobs.from_chunks(back).select(F.col("id").alias("conv_id"), F.md5("data").alias("digest"))
+    return chunks.stream_digests(back).select(F.col("id").alias("conv_id"), "digest")
 
 
 @query("stream_small_chunks", "SELECT page_id, md5(html) AS digest FROM pages")
 def stream_small_chunks(spark, sf_dir):
     pieces = blobs.to_chunks(_read(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html", 64)
-    packed = blobs.from_chunks(chunks.stream_codec(pieces, "id", "seq", "chunk", "zstd", "compress")).select("id", F.col("data").alias("chunk"))
-    back = chunks.stream_codec(blobs.to_chunks(packed, "id", "chunk", 16), "id", "seq", "chunk", "zstd", "decompress")
-    return blobs.from_chunks(back).select(F.col("id").alias("page_id"), F.md5("data").alias("digest"))
+    packed = chunks.stream_codec(pieces, "id", "seq", "chunk", "zstd", "compress")
+    back = chunks.stream_codec(blobs.cut_chunks(packed, 16), "id", "seq", "chunk", "zstd", "decompress")
+    return chunks.stream_digests(back).select(F.col("id").alias("page_id"), "digest")
 
 
 @query("gzip_header", "SELECT page_id, url AS filename, 1700000000 + page_id AS mtime, NULL::VARCHAR AS comment, 255 AS os, md5(html) AS digest FROM pages")

@@ -27,10 +27,17 @@ def to_chunks(df: DataFrame, id_col: str, col: str, size: int) -> DataFrame:
     return cut.select("id", "seq", F.substring("b", (F.col("seq") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
 
 
+def cut_chunks(df: DataFrame, size: int) -> DataFrame:
+    """id, seq, chunk: chunks cut into pieces of ``size`` bytes, in the same order (seq below 2 ** 31); no stream is joined."""
+    pieces = to_chunks(df.withColumn("key", F.struct("id", "seq")), "key", "chunk", size)
+    return pieces.select("id.id", (F.shiftleft("id.seq", 32) + F.col("seq")).alias("seq"), "chunk")
+
+
 def from_chunks(df: DataFrame, id_col: str = "id", seq_col: str = "seq", chunk_col: str = "chunk") -> DataFrame:
-    """id, data: each stream's chunks joined in order. A stream must fit a row."""
+    """id, data: each stream's chunks joined in order. A stream must fit a row, in hex digits too; see ``stream_digests`` for one of any length."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(seq_col).alias("seq"), F.col(chunk_col).alias("chunk"))))
-    joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["chunk"]))
+    # joined as hex digits: joining binaries one by one would copy the first ones again with each
+    joined = F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x["chunk"])), ""))
     return df.groupBy(F.col(id_col).alias("id")).agg(joined.alias("data"))
 
 
