@@ -22,6 +22,8 @@ BINARY = T.BinaryType()
 HEADER = T.StructType(
     [T.StructField("filename", T.StringType()), T.StructField("mtime", T.LongType()), T.StructField("comment", T.StringType()), T.StructField("os", T.IntegerType()), T.StructField("extra", BINARY)]
 )
+#: Rows of a batch that are Python objects at once.
+SLICE = 64
 _ARROW = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}
 _HEADER = pa.struct([("filename", pa.string()), ("mtime", pa.int64()), ("comment", pa.string()), ("os", pa.int32()), ("extra", pa.binary())])
 
@@ -52,7 +54,9 @@ def _apply(kernel: Callable[..., Any], cols: list[Column], kind: T.DataType = BI
         return {"ok": True, "value": value, "error": None} if result else value
 
     def run(*arrays: pa.Array) -> pa.Array:
-        return pa.array([one(args) for args in zip(*(a.to_pylist() for a in arrays), strict=True)], arrow_out)
+        # a few rows at a time are Python objects, whose freed memory the next ones take; a batch's would leave the heap in holes
+        parts = [pa.array([one(args) for args in zip(*(a.slice(k, SLICE).to_pylist() for a in arrays), strict=True)], arrow_out) for k in range(0, len(arrays[0]), SLICE)]
+        return parts[0] if len(parts) == 1 else pa.concat_arrays(parts) if parts else pa.array([], arrow_out)
 
     # type hints tell Spark what kind of function it is
     def one_column(a: pa.Array) -> pa.Array:

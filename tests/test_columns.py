@@ -230,3 +230,12 @@ def test_gzip_header_of_any_length(spark):
     assert (got[0].value.filename, got[0].value.comment) == tuple(x.decode() for x in long)
     assert (got[1].value.filename, got[1].value.comment, got[1].value.mtime) == ("n", "c", 7)
     assert [h.error for h in got[2:4]] == ["gzip read header failed: unexpected end of file", "gzip read header failed: invalid gzip header"] and got[4] is None
+
+
+def test_batches_pass_in_slices(spark):
+    n = 5 * cf.SLICE + 3
+    rows = [(k, None if k % 7 == 0 else b"junk" if k % 5 == 0 else zlib.compress(str(k).encode(), wbits=31)) for k in range(n)]
+    df = spark.createDataFrame(rows, "k long, z binary").coalesce(1)
+    got = df.select("k", cf.gzip_decompress("z", "null").alias("b")).collect()
+    assert [(r.k, r.b and bytes(r.b)) for r in got] == [(k, None if z in (None, b"junk") else str(k).encode()) for k, z in rows]
+    assert df.limit(0).select(cf.gzip_decompress("z")).collect() == []

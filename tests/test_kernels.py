@@ -231,3 +231,35 @@ def test_zstd_frames_in_small_chunks():
     ctx = contexts.decompressor("zstd")
     assert b"".join([*(ctx.transform(two[k : k + 777]) for k in range(0, len(two), 777)), ctx.finish()]) == b"abc" + data
     assert codecs.zstd_decompress(two, 1 << 24) == b"abc" + data
+
+
+@pytest.mark.parametrize("codec", ["brotli", "lz4"])
+def test_failed_decoding_keeps_no_memory(codec):
+    import re
+    import sys
+
+    def held() -> int:
+        with open("/proc/self/status") as f:
+            return int(re.search(r"VmSize:\s+(\d+)", f.read())[1]) // 1024
+
+    half = codecs.COMPRESS[codec](PAYLOADS["random_1k"])[:500]
+    before = held()
+    for _ in range(100):
+        with pytest.raises(limits.CodecError):
+            codecs.DECOMPRESS[codec](half)
+    assert held() - before < 1024  # MB; each took 256 of them
+    codecs.is_brotli(b"\xff" * 50)
+    blocks = sys.getallocatedblocks()
+    for _ in range(5000):
+        assert not codecs.is_brotli(b"\xff" * 50)
+    assert sys.getallocatedblocks() - blocks < 2500
+
+
+@pytest.mark.parametrize("codec", ["brotli", "lz4"])
+def test_decoding_in_steps_at_their_edges(codec):
+    for n in (codecs._STEP - 1, codecs._STEP, codecs._STEP + 1, 2 * codecs._STEP):
+        data = rng.randbytes(n)
+        packed = codecs.COMPRESS[codec](data)
+        assert codecs.DECOMPRESS[codec](packed) == codecs.DECOMPRESS[codec](packed, n) == data
+        with pytest.raises(limits.SizeLimitError):
+            codecs.DECOMPRESS[codec](packed, n - 1)
