@@ -7,6 +7,7 @@ fields, checksums, statuses and decisions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,9 +80,9 @@ def _add_levels() -> None:
 
         def run(spark, sf_dir, codec=codec, levels=levels):
             docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-            wide = docs.select("doc_id", _text_size().alias("raw_len"), *(cf.decompress_as(cf.compress("text", codec, v), codec).alias(f"l{i}") for i, v in enumerate(levels)))
-            each = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.col(f"l{i}").alias("b")) for i, v in enumerate(levels)))).alias("x")
-            return wide.select("doc_id", "raw_len", each).select("doc_id", "raw_len", F.col("x.level").cast("int").alias("level"), F.md5("x.b").alias("digest"))
+            # a task has one level: side by side, a worker holds a batch's texts once for each
+            each = (docs.select("doc_id", _text_size().alias("raw_len"), F.lit(v).cast("int").alias("level"), F.md5(cf.decompress_as(cf.compress("text", codec, v), codec)).alias("digest")) for v in levels)
+            return reduce(DataFrame.unionByName, each)
 
         rows = ", ".join(f"({v})" for v in levels)
         query(f"{codec}_levels", f"SELECT doc_id, octet_length(encode(text))::BIGINT AS raw_len, level::INTEGER AS level, md5(text) AS digest FROM documents, (VALUES {rows}) v(level)")(run)

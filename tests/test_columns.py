@@ -239,3 +239,9 @@ def test_batches_pass_in_slices(spark):
     got = df.select("k", cf.gzip_decompress("z", "null").alias("b")).collect()
     assert [(r.k, r.b and bytes(r.b)) for r in got] == [(k, None if z in (None, b"junk") else str(k).encode()) for k, z in rows]
     assert df.limit(0).select(cf.gzip_decompress("z")).collect() == []
+
+
+@pytest.mark.parametrize("name", [f"{c}_levels" for c in catalog.LEVEL_SETS])
+def test_levels_hold_one_output_at_a_time(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
