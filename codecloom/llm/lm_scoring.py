@@ -55,7 +55,7 @@ PAD = 6
 #: Two bytes have a tree of their own where they stand before more than one in so many training bytes, which bounds the trees.
 TREE_SHARE = 4096
 #: Bytes that are worked on at once, and decisions per step of the online training.
-BLOCK, BATCH = 1 << 16, 2048
+BLOCK, BATCH = 1 << 15, 2048
 #: Inputs of the mixing: the byte before, then the hashed contexts. Units: predictions 1/16, weights 1/256, levels STEP.
 INPUTS = 1 + len(BASE_BITS)
 GATES, LEVELS, STEP = 18, 65, 0.25
@@ -87,6 +87,20 @@ def offsets(bits: tuple[int, ...]) -> tuple[list[int], int]:
     return out, at
 
 
+class _Places:
+    """Slots as indices, in memory that is taken once: pages of large temporaries would be mapped and cleared for every block."""
+
+    def __init__(self):
+        self.held = np.empty(0, np.intp)
+
+    def of(self, slots: np.ndarray) -> np.ndarray:
+        if len(self.held) < slots.size:
+            self.held = np.empty(slots.size + (slots.size >> 2), np.intp)
+        at = self.held[: slots.size].reshape(slots.shape)
+        np.copyto(at, slots)
+        return at
+
+
 class Trees:
     """Paths of symbols in each tree: decision nodes, bits and what the tree's counts predict, flat; and the tree of each two bytes."""
 
@@ -140,9 +154,12 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Events:
-    """The decisions of a block of texts: the bit, the tree's hint, the slot in each hashed context (a row per decision), and where each text's decisions begin."""
+    """The decisions of a block of texts: the bit, the tree's hint, the slot in each hashed context (a row per decision), and where each text's decisions begin.
 
-    def __init__(self, texts: list[bytes], trees: Trees, bits: tuple[int, ...]):
+    With ``counted``, instead of the slot the place among counts, two to a slot: twice the slot, and the bit.
+    """
+
+    def __init__(self, texts: list[bytes], trees: Trees, bits: tuple[int, ...], counted: bool = False):
         # eight bytes to look back into, then each text with a place for its end, and padding between texts
         raw = bytes(8) + bytes(PAD + 1).join(texts) + b"\0"
         n = len(raw) - 8
@@ -165,22 +182,23 @@ class Events:
         word ^= past >> np.uint64(56) << np.uint64(56)
         total = np.cumsum(many)
         # the byte that each decision belongs to, and its place in the trees' paths
-        owner = np.zeros(int(total[-1]), np.int32)
-        owner[total[:-1][many[1:] > 0]] = np.diff(np.flatnonzero(many))
-        owner[0] = np.flatnonzero(many)[0]
-        owner = np.cumsum(owner)
-        path = (trees.start.take(symbol) - (total - many)).take(owner)
+        owner = np.repeat(np.arange(n), many)
+        path = (trees.start.take(symbol) - (total - many)).take(owner, mode="clip")
         path += np.arange(len(path), dtype=path.dtype)
-        step = trees.steps.take(path)
-        self.hint = trees.hints.take(path)
+        step = trees.steps.take(path, mode="clip")
+        self.hint = trees.hints.take(path, mode="clip")
         # a byte's place in each context, for each of its decisions; the node picks the slot
         context = np.empty((n, len(bits)), np.uint32)
-        node = np.empty((len(_NODES), len(bits)), np.uint32)
+        node = np.empty((len(_NODES) << 1, len(bits)), np.uint32)  # a row per step down
         for k, (c, b, near, m, at) in enumerate(zip((past >> np.uint64(48), past >> np.uint64(32), past >> np.uint64(16), word), bits, NEAR_BITS, _M, offsets(bits)[0], strict=True)):
             context[:, k] = ((c + np.uint64(1)) * m >> np.uint64(64 - b)).astype(np.uint32) + np.uint32(at)
-            node[:, k] = _NODES >> np.uint32(32 - min(b, near))
-        self.slots = context.take(owner, axis=0)
-        self.slots ^= node.take(step >> 1, axis=0)
+            node[::2, k] = node[1::2, k] = _NODES >> np.uint32(32 - min(b, near))
+        if counted:
+            context <<= 1
+            node <<= 1
+            node[1::2] |= 1
+        self.slots = context.take(owner, axis=0, mode="clip")
+        self.slots ^= node.take(step, axis=0, mode="clip")
         self.bit = step & 1
         starts = ends - size + 1
         self.of_text = total[starts] - many[starts]
@@ -239,14 +257,11 @@ def _chunk_counter(trees, bits):
         from pyspark import TaskContext
 
         table = np.zeros(2 * offsets(bits)[1], np.uint32)
-        some = False
+        some, places = False, _Places()
         for _, texts in _blocks(batches, 0):
             some = True
-            ev = Events(texts, trees.value, bits)
-            at = ev.slots.astype(np.intp)
-            at *= 2
-            at += ev.bit[:, None]
-            np.add.at(table, at.ravel(), np.uint32(1))
+            for at in places.of(Events(texts, trees.value, bits, True).slots.T):  # one context after another: fewer pages at a time
+                np.add.at(table, at, np.uint32(1))
         if some:
             press = zstandard.ZstdCompressor(1)
             parts = table.reshape(-1, 2 * CHUNK)
@@ -284,19 +299,23 @@ def _stretch(table: pa.Table) -> pa.Table:
 
 #: Sureness of a signed byte: 0 never seen or balanced, 1 seen about once, 2 more.
 _SURE = np.array([0 if abs(x) < 6 else 1 if abs(x) < 22 else 2 for x in np.arange(256).astype(np.uint8).view(np.int8).astype(int)], np.int16)
-_SURE3, _SEEN9 = _SURE * 3, (_SURE > 0).astype(np.int16) * 9
 #: Probability that a signed byte of sixteenths stands for.
 _SIGMA = 1 / (1 + np.exp(-np.arange(256).astype(np.uint8).view(np.int8) / 16))
 #: Inputs that the gate looks at: 4 bytes, 6 bytes, the word.
 _FOUR, _SIX, _WORD = 2, 3, 4
 
 
+#: The gate, in parts by two hashed predictions that lie side by side in a row: the last 2 and 4 bytes, the last 6 and the word.
+_HALVES = np.arange(1 << 16, dtype="<u2").view(np.uint8).reshape(-1, 2)
+_GATE_FOUR = _SURE.take(_HALVES[:, _FOUR - 1]) * np.int16(3)
+_GATE_SIX_WORD = (_SURE.take(_HALVES[:, _SIX - 3]) > 0) * np.int16(9) + _SURE.take(_HALVES[:, _WORD - 3])
+
+
 def _gate(got: np.ndarray) -> np.ndarray:
     """Of rows of hashed predictions."""
-    bytes_ = got.view(np.uint8)
-    gate = _SURE3.take(bytes_[:, _FOUR - 1])
-    gate += _SURE.take(bytes_[:, _WORD - 1])
-    gate += _SEEN9.take(bytes_[:, _SIX - 1])
+    halves = got.view("<u2")
+    gate = _GATE_FOUR.take(halves[:, 0])
+    gate += _GATE_SIX_WORD.take(halves[:, 1])
     return gate
 
 
@@ -330,8 +349,8 @@ class Model:
     def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, Events]:
         """log10 probability of each decision's bit."""
         ev = Events(texts, self.trees, self.bits)
-        got = self.table.take(ev.slots)
-        return self.costs.take(_key(_gate(got), ev.hint, got, self.weights, ev.bit)), ev
+        got = self.table.take(ev.slots, mode="wrap")  # nothing is out of bounds; modes that need not raise are faster
+        return self.costs.take(_key(_gate(got), ev.hint, got, self.weights, ev.bit), mode="clip"), ev
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability."""

@@ -195,6 +195,18 @@ def test_scores_do_not_depend_on_the_batch():
     assert model.scores(texts) == pytest.approx([model.scores([t])[0] for t in texts])
 
 
+def test_places_among_counts():
+    texts = [b"", b"a few words and then some more", b"\xff\x00 \n\n", b"x" * 3000]
+    pairs = np.random.default_rng(3).integers(0, 50, (256, 257))
+    trees = lm_scoring.Trees(pairs, {ord("e") << 8 | ord("h"): pairs[7]})
+    plain, counted = (lm_scoring.Events(texts, trees, (20, 21, 19, 22), x) for x in (False, True))
+    assert (counted.slots == 2 * plain.slots + plain.bit[:, None].astype(np.uint32)).all()
+    assert (counted.bit == plain.bit).all() and (counted.of_text == plain.of_text).all()
+    places = lm_scoring._Places()
+    for part in (plain.slots[:50], plain.slots, plain.slots[:7]):
+        assert (places.of(part.T) == part.T).all() and places.held.dtype == np.intp
+
+
 def test_scores_tell_whole_words_apart():
     """Words that share their length and last eight bytes are contexts of their own."""
     trees = lm_scoring.Trees(np.ones((256, 257)))
