@@ -8,14 +8,16 @@ weights that mix the predictions in the logistic domain, and an adaptive map per
 Learning runs on Spark over all training documents, in passes that each leave a written table:
 
 1. Counts of tokens (for the base score) and of bytes behind two others (for the trees): partial counts per task, then an aggregation.
-2. Counts of decisions per hashed slot: each task sums its documents into a fixed table and sends it in compressed chunks; chunks add
+2. Counts of decisions per hashed slot: each task sums its documents into a fixed table (bytes that are equal in a context are gathered by sorting
+   and spelled once) and sends it in compressed chunks; chunks add
    up in rounds of at most ``FAN_IN``. Slots grow with the square root of the training bytes, up to ``MOST_BITS`` per context: the memory
    that a worker gives to the model is the bound (``table_bits``). Beyond it contexts share slots.
 3. One of ``MIX_FOLD`` training documents is kept out of those counts at first. They are read online, in steps of ``BATCH`` decisions: each step is
    predicted, then moves the gate's weights, the predictors' states and the correction counts together. Tasks' weights are averaged by their number of
    decisions, their correction counts are summed. Then those documents are counted too, so that the frozen tables cover all training documents.
 
-Scoring is one further pass with the frozen model: a text's score depends on that text and the model alone. The base score needs
+Scoring is one further pass with the frozen model: a text's score depends on that text and the model alone. A worker remembers the costs of bytes
+that it has scored in the same contexts, in a memo of fixed size, which changes no digit. The base score needs
 each token's count: the most frequent tokens, ``HEAD`` at most, are broadcast, the rest are joined by token, so no token is a hot key.
 
 Results in odd cases: a null text counts as empty: one token, the end mark. Null ids are training documents (the empty string's
@@ -29,7 +31,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,9 @@ PAD = 6
 TREE_SHARE = 4096
 #: Bytes that are worked on at once, and decisions per step of the online training.
 BLOCK, BATCH = 1 << 15, 2048
+#: Letters that are gathered before they are counted, and log2 of those whose costs a worker remembers.
+GATHER, MEMO_BITS = 1 << 20, 21
+_NONE = np.uint64((1 << 64) - 1)
 #: Inputs of the mixing: the byte before, then the hashed contexts. Units: predictions 1/16, weights 1/256, levels STEP.
 INPUTS = 1 + len(BASE_BITS)
 GATES, LEVELS, STEP = 18, 65, 0.25
@@ -153,46 +158,90 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-class Events:
-    """The decisions of a block of texts: the bit, the tree's hint, the slot in each hashed context (a row per decision), and where each text's decisions begin.
+class Letters:
+    """The bytes and ends of a block of texts, each with all that its decisions depend on; padding lies between texts."""
 
-    With ``counted``, instead of the slot the place among counts, two to a slot: twice the slot, and the bit.
-    """
-
-    def __init__(self, texts: list[bytes], trees: Trees, bits: tuple[int, ...], counted: bool = False):
+    def __init__(self, texts: list[bytes]):
         # eight bytes to look back into, then each text with a place for its end, and padding between texts
         raw = bytes(8) + bytes(PAD + 1).join(texts) + b"\0"
         n = len(raw) - 8
         s = np.frombuffer(raw, np.uint8, n, 8)
         size = np.array([len(t) + 1 for t in texts], np.int64)
         ends = np.cumsum(size + PAD) - PAD - 1
+        self.first, self.ends = ends - size + 1, ends
+        self.padding = (ends[:-1, None] + 1 + np.arange(PAD)).ravel()
         past = np.ndarray((n,), "<u8", raw, 0, (1,)).copy()  # the eight bytes before each place, the last one on top
-        symbol = trees.tree.take((past >> np.uint64(48)).astype(np.intp)) * 257 + s
-        symbol[ends] += END  # these bytes are 0
-        many = trees.length.take(symbol)
-        many[(ends[:-1, None] + 1 + np.arange(PAD)).ravel()] = 0
         # the whole word so far, lower-cased: differences of a running polynomial
-        place = np.arange(1, n + 1, dtype=np.int32)
-        begin = np.zeros(n, np.int32)
-        np.maximum.accumulate(np.where(_SPACE[s[:-1]], place[:-1], 0), out=begin[1:])
+        begin = np.zeros(n, np.int64)
+        np.maximum.accumulate(_SPACE.take(s[:-1]) * np.arange(1, n), out=begin[1:])
         power, back = _powers_of(n)
         run = np.zeros(n + 1, np.uint64)
-        np.cumsum((np.frombuffer(raw.translate(_LOWER), np.uint8, n, 8) + np.uint64(1)) * power, out=run[1:])
-        word = (run[:-1] - run.take(begin)) * back.take(begin)
-        word ^= past >> np.uint64(56) << np.uint64(56)
+        terms = np.frombuffer(raw.translate(_LOWER), np.uint8, n, 8) + np.uint64(1)
+        terms *= power
+        np.cumsum(terms, out=run[1:])
+        self.word = run[:-1] - run.take(begin, mode="clip")
+        self.word *= back.take(begin, mode="clip")
+        self.word ^= past >> np.uint64(56) << np.uint64(56)
+        #: the six bytes before, the last one on top, and nine bits for the symbol
+        past >>= np.uint64(16)
+        past <<= np.uint64(9)
+        past |= s
+        past[ends] |= np.uint64(END)  # these bytes are 0
+        self.near = past
+
+
+def _contexts(near: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the hashed contexts hash: the last 2, 4 and 6 bytes, the word."""
+    return near >> np.uint64(41), near >> np.uint64(25), near >> np.uint64(9), word
+
+
+def _hashed(context: np.ndarray, k: int, bits: tuple[int, ...]) -> np.ndarray:
+    """The slot that context number ``k`` begins from, of ``1 << bits[k]``."""
+    h = context + np.uint64(1)
+    h *= _M[k]
+    h >>= np.uint64(64 - bits[k])
+    return h
+
+
+class Events:
+    """The decisions of a block of texts: the bit, the tree's hint, the slot in each hashed context (a row per decision), and where each text's decisions begin.
+
+    With ``counted``, instead of the slot the place among counts, two to a slot: twice the slot, and the bit; and no hints.
+    """
+
+    def __init__(self, texts: list[bytes], trees: Trees, bits: tuple[int, ...], counted: bool = False):
+        x = Letters(texts)
+        slots = {k: _hashed(c, k, bits) for k, c in enumerate(_contexts(x.near, x.word))}
+        self._spell(x.near >> np.uint64(41), x.near & np.uint64(511), slots, trees, bits, counted, x.padding)
+        self.of_text = self.of_letter.take(x.first)
+
+    @classmethod
+    def of(cls, two: np.ndarray, symbol: np.ndarray, slots: dict[int, np.ndarray], trees: Trees, bits: tuple[int, ...], counted: bool = False) -> Events:
+        """The decisions of letters, whatever texts they are from, in some contexts: two bytes before, symbol, slots by the context's number."""
+        ev = cls.__new__(cls)
+        ev._spell(two, symbol, slots, trees, bits, counted)
+        return ev
+
+    def _spell(self, two, symbol, slots, trees, bits, counted, padding=()) -> None:
+        at = trees.tree.take(two.view(np.int64), mode="clip") * 257
+        at += symbol.view(np.int64)
+        self.many = many = trees.length.take(at, mode="clip")
+        many[padding,] = 0
         total = np.cumsum(many)
-        # the byte that each decision belongs to, and its place in the trees' paths
-        owner = np.repeat(np.arange(n), many)
-        path = (trees.start.take(symbol) - (total - many)).take(owner, mode="clip")
-        path += np.arange(len(path), dtype=path.dtype)
+        self.of_letter = total - many
+        # the letter that each decision belongs to, and its place in the trees' paths
+        owner = np.repeat(np.arange(len(many)), many)
+        path = (trees.start.take(at, mode="clip") - self.of_letter).take(owner, mode="clip")
+        path += np.arange(len(path))
         step = trees.steps.take(path, mode="clip")
-        self.hint = trees.hints.take(path, mode="clip")
-        # a byte's place in each context, for each of its decisions; the node picks the slot
-        context = np.empty((n, len(bits)), np.uint32)
-        node = np.empty((len(_NODES) << 1, len(bits)), np.uint32)  # a row per step down
-        for k, (c, b, near, m, at) in enumerate(zip((past >> np.uint64(48), past >> np.uint64(32), past >> np.uint64(16), word), bits, NEAR_BITS, _M, offsets(bits)[0], strict=True)):
-            context[:, k] = ((c + np.uint64(1)) * m >> np.uint64(64 - b)).astype(np.uint32) + np.uint32(at)
-            node[::2, k] = node[1::2, k] = _NODES >> np.uint32(32 - min(b, near))
+        self.hint = None if counted else trees.hints.take(path, mode="clip")
+        # a letter's place in each context, for each of its decisions; the node picks the slot
+        context = np.empty((len(many), len(slots)), np.uint32)
+        node = np.empty((len(_NODES) << 1, len(slots)), np.uint32)  # a row per step down
+        begin = offsets(bits)[0]
+        for j, (k, slot) in enumerate(slots.items()):
+            np.add(slot, np.uint64(begin[k]), out=context[:, j], casting="unsafe")
+            node[::2, j] = node[1::2, j] = _NODES >> np.uint32(32 - min(bits[k], NEAR_BITS[k]))
         if counted:
             context <<= 1
             node <<= 1
@@ -200,8 +249,33 @@ class Events:
         self.slots = context.take(owner, axis=0, mode="clip")
         self.slots ^= node.take(step, axis=0, mode="clip")
         self.bit = step & 1
-        starts = ends - size + 1
-        self.of_text = total[starts] - many[starts]
+
+
+class Memo:
+    """Letters met before and their costs, each at the one place that its hash picks; a later one takes an earlier one's place.
+
+    Letters are compared as a whole, so what is found is exact. ``1 << MEMO_BITS`` places, 24 bytes each, bound it.
+    """
+
+    def __init__(self):
+        # two whole numbers as one item, which moves at once; it is never computed with
+        self.letters = np.full(2 << MEMO_BITS, np.iinfo(np.uint64).max).view(np.complex128)  # no letter: its symbol would be 511
+        self.costs = np.zeros(1 << MEMO_BITS)
+
+    def find(self, x: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each letter as an item, its place, and which are not there."""
+        pair = np.empty((len(x.near), 2), np.uint64)
+        pair[:, 0], pair[:, 1] = x.near, x.word
+        at = x.near * _M[0]
+        at += x.word * _M[1]
+        at >>= np.uint64(64 - MEMO_BITS)
+        at = at.view(np.int64)
+        item = pair.ravel().view(np.complex128)
+        same = self.letters.take(at, mode="clip").view(np.uint64) == pair.ravel()
+        return item, at, np.flatnonzero(same.view(np.uint16) != 0x0101)
+
+    def keep(self, item: np.ndarray, at: np.ndarray, cost: np.ndarray) -> None:
+        self.letters[at], self.costs[at] = item, cost  # of two at one place the last one stays, in both
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -219,6 +293,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield b.slice(first, len(texts)), texts
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how many there are of each. Sorts in place."""
+    keys.sort()
+    begin = np.flatnonzero(keys[1:] != keys[:-1])
+    begin += 1
+    begin = np.concatenate([[0], begin, [len(keys)]])
+    return keys[begin[:-1]], np.diff(begin)
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """token and count; the end mark is the empty token; keys that begin with a blank hold a symbol behind two bytes."""
     words: Counter = Counter()
@@ -240,7 +323,8 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         symbol[ends] += END
         if triples is None:
             triples = np.zeros(257 << 16, np.uint32)
-        np.add.at(triples, np.delete(symbol, ends[:-1] + 1), np.uint32(1))
+        found, n = _distinct(np.delete(symbol, ends[:-1] + 1))
+        triples[found] += n.astype(np.uint32)
         if len(words) > _FLUSH:
             yield out()
     yield out()
@@ -251,20 +335,71 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([b" " + k.to_bytes(4, "big") for k in part.tolist()], pa.binary()), pa.array(triples[part].astype(np.int64))], names=["token", "c"])
 
 
+class Counts:
+    """Counts of decisions in their slots. Letters are gathered, GATHER at a time; those that are equal in a context are spelled once there."""
+
+    #: Contexts that are spelled together, after the last of them, which tells the others.
+    TOGETHER = ((0, 1), (2,), (3,))
+
+    def __init__(self, trees: Trees, bits: tuple[int, ...]):
+        self.trees, self.bits = trees, bits
+        self.table = np.zeros(2 * offsets(bits)[1], np.uint32)
+        self.places = _Places()
+        self.gathered: list[list[np.ndarray]] = [[] for _ in self.TOGETHER]
+        self.held = 0
+
+    def add(self, texts: list[bytes]) -> None:
+        x = Letters(texts)
+        contexts = _contexts(x.near, x.word)
+        spelling = contexts[0] << np.uint64(9)
+        spelling |= x.near & np.uint64(511)
+        for ks, gathered in zip(self.TOGETHER, self.gathered, strict=True):
+            # the slot, which puts the table's places in order, then the two bytes before and the symbol
+            keys = _hashed(contexts[ks[-1]], ks[-1], self.bits)
+            keys <<= np.uint64(25)
+            keys |= spelling
+            keys[x.padding] = _NONE
+            gathered.append(keys)
+        self.held += len(spelling)
+        if self.held >= GATHER:
+            self._flush()
+
+    def _flush(self) -> None:
+        for ks, gathered in zip(self.TOGETHER, self.gathered, strict=True):
+            keys, n = _distinct(np.concatenate(gathered))
+            gathered.clear()
+            if keys[-1] == _NONE:
+                keys, n = keys[:-1], n[:-1]
+            for a in range(0, len(keys), BLOCK):
+                self._spell(ks, keys[a : a + BLOCK], n[a : a + BLOCK])
+        self.held = 0
+
+    def _spell(self, ks: tuple[int, ...], keys: np.ndarray, n: np.ndarray) -> None:
+        two = keys >> np.uint64(9) & np.uint64(0xFFFF)
+        slots = {k: _hashed(two, k, self.bits) if k == 0 else keys >> np.uint64(25) for k in ks}
+        ev = Events.of(two, keys & np.uint64(511), slots, self.trees, self.bits, True)
+        n = np.repeat(n.astype(np.uint32), ev.many)
+        for at in self.places.of(ev.slots.T):
+            np.add.at(self.table, at, n)
+
+    def total(self) -> np.ndarray:
+        if self.held:
+            self._flush()
+        return self.table
+
+
 def _chunk_counter(trees, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        table = np.zeros(2 * offsets(bits)[1], np.uint32)
-        some, places = False, _Places()
+        counts = None
         for _, texts in _blocks(batches, 0):
-            some = True
-            for at in places.of(Events(texts, trees.value, bits, True).slots.T):  # one context after another: fewer pages at a time
-                np.add.at(table, at, np.uint32(1))
-        if some:
+            counts = counts or Counts(trees.value, bits)
+            counts.add(texts)
+        if counts:
             press = zstandard.ZstdCompressor(1)
-            parts = table.reshape(-1, 2 * CHUNK)
+            parts = counts.total().reshape(-1, 2 * CHUNK)
             for i in np.flatnonzero(parts.any(axis=1)).tolist():
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((i, pa.int64()), (TaskContext.get().partitionId(), pa.int64()), (press.compress(parts[i].tobytes()), pa.binary()))], names=["chunk", "task", "counts"])
 
@@ -301,6 +436,8 @@ def _stretch(table: pa.Table) -> pa.Table:
 _SURE = np.array([0 if abs(x) < 6 else 1 if abs(x) < 22 else 2 for x in np.arange(256).astype(np.uint8).view(np.int8).astype(int)], np.int16)
 #: Probability that a signed byte of sixteenths stands for.
 _SIGMA = 1 / (1 + np.exp(-np.arange(256).astype(np.uint8).view(np.int8) / 16))
+#: How far such a prediction moves when the bit is 0, then when it is 1.
+_MOVES = (MOVE * (np.array([[0], [1]]) - _SIGMA)).astype(np.float32).ravel()
 #: Inputs that the gate looks at: 4 bytes, 6 bytes, the word.
 _FOUR, _SIX, _WORD = 2, 3, 4
 
@@ -345,17 +482,32 @@ class Model:
         self.trees, self.bits, self.table = trees, bits, table
         self.weights = np.full((GATES, INPUTS), round(START * 256), np.int32) if weights is None else np.rint(weights * 256).astype(np.int32)
         self.costs = costs
+        self.memo: Memo | None = None  # a worker's tasks share it
+
+    def _cost(self, ev: Events) -> np.ndarray:
+        got = self.table.take(ev.slots, mode="wrap")  # nothing is out of bounds; modes that need not raise are faster
+        return self.costs.take(_key(_gate(got), ev.hint, got, self.weights, ev.bit), mode="clip")
 
     def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, Events]:
         """log10 probability of each decision's bit."""
         ev = Events(texts, self.trees, self.bits)
-        got = self.table.take(ev.slots, mode="wrap")  # nothing is out of bounds; modes that need not raise are faster
-        return self.costs.take(_key(_gate(got), ev.hint, got, self.weights, ev.bit), mode="clip"), ev
+        return self._cost(ev), ev
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability."""
-        cost, ev = self.decisions(texts)
-        return np.add.reduceat(cost, ev.of_text)
+        """log10 of each text's probability. A letter's cost is taken from the memo where that has it, which changes no digit."""
+        x = Letters(texts)
+        memo = self.memo = self.memo or Memo()
+        item, at, new = memo.find(x)
+        cost = memo.costs.take(at, mode="clip")
+        for a in range(0, len(new), BLOCK):
+            some = new[a : a + BLOCK]
+            near = x.near.take(some, mode="clip")
+            contexts = _contexts(near, x.word.take(some, mode="clip"))
+            ev = Events.of(contexts[0], near & np.uint64(511), {k: _hashed(c, k, self.bits) for k, c in enumerate(contexts)}, self.trees, self.bits)
+            cost[some] = c = np.add.reduceat(self._cost(ev), ev.of_letter)
+            memo.keep(item.take(some, mode="clip"), at.take(some, mode="clip"), c)
+        # the padding between texts is left out, so that a text adds up the same wherever it stands
+        return np.add.reduceat(cost, np.stack([x.first, x.ends + 1], axis=1).ravel()[:-1])[::2]
 
 
 class Online:
@@ -368,18 +520,23 @@ class Online:
         self.seen = 0
 
     def learn(self, hint: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> None:
-        got = np.clip(np.rint(self.table.take(slots) * 16), -127, 127).astype(np.int8)
-        logits = got / 16
+        held = self.table.take(slots, mode="wrap")
+        held *= 16
+        np.rint(held, out=held)
+        got = np.clip(held, -127, 127, out=held).astype(np.int8)
         gate = _gate(got)
         self.hist += np.bincount(_key(gate, hint, got, np.rint(self.w * 256).astype(np.int32), bit), minlength=len(self.hist))
-        x = np.empty((len(bit), INPUTS))
-        x[:, 0], x[:, 1:] = hint / 16, logits
-        miss = bit - 1 / (1 + np.exp(-(self.w.take(gate, axis=0) * x).sum(axis=1)))
+        x = np.empty((INPUTS, len(bit)))
+        np.divide(hint, 16, out=x[0])
+        np.divide(got.T, 16, out=x[1:])
+        z = sum(w.take(gate, mode="clip") * v for w, v in zip(self.w.T, x, strict=True))
+        miss = bit - 1 / (1 + np.exp(-z))
         n = np.bincount(gate, minlength=GATES)[:, None]
-        gradient = np.stack([np.bincount(gate, miss * x[:, k], minlength=GATES) for k in range(INPUTS)], axis=1) / np.maximum(n, 1)
+        gradient = np.stack([np.bincount(gate, miss * v, minlength=GATES) for v in x], axis=1) / np.maximum(n, 1)
         self.w += RATE * np.minimum(n / 64, 1) * gradient
         # each predictor by its own error
-        np.add.at(self.table, slots.ravel().astype(np.intp), (MOVE * (bit[:, None] - _SIGMA.take(got.view(np.uint8)))).astype(np.float32).ravel())
+        moves = _MOVES.take(got.view(np.uint8) + (bit << 8)[:, None], mode="clip")
+        np.add.at(self.table, slots.ravel().astype(np.intp), moves.ravel())
         self.seen += len(bit)
 
 
@@ -410,19 +567,12 @@ def _costs(hist: np.ndarray) -> np.ndarray:
     return np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], axis=1).ravel() / math.log(10)
 
 
-class _Known(dict):
-    """Counts of the frequent tokens; 0 for any other."""
-
-    def __missing__(self, token: bytes) -> int:
-        return 0
-
-
 def _scorer(model, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m: Model = model.value
-        known = _Known(head.value)
+        known = head.value
         place = TaskContext.get().partitionId() << 33
         for b, texts in _blocks(batches, 2):
             score = m.scores(texts)
@@ -430,7 +580,7 @@ def _scorer(model, head):
             for raw in texts:
                 words = raw.lower().split()
                 words.append(b"")
-                c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                c = np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
                 rare = c == 0
                 n_rare = int(np.count_nonzero(rare))
                 tail = Counter(compress(words, rare.tolist())) if n_rare else {}

@@ -207,6 +207,36 @@ def test_places_among_counts():
         assert (places.of(part.T) == part.T).all() and places.held.dtype == np.intp
 
 
+def test_letters_that_come_again_are_spelled_once(monkeypatch):
+    """Scores and counts are those of every single letter, but equal letters' decisions are made once while the memo or the gathered block has them."""
+    texts = [b"", b"one two three one two three", "é漢 THREE".encode(), b"\0\0 \n\n", b"x" * 300, b"one two three one two three"]
+    spelled, spell = [0], lm_scoring.Events._spell
+    monkeypatch.setattr(lm_scoring.Events, "_spell", lambda ev, two, *rest: (spelled.append(len(two)), spell(ev, two, *rest))[1])
+    model = some_model(4)
+    whole = [model.decisions([t])[0].sum() for t in texts]
+    for places in (0, 3, 12):
+        monkeypatch.setattr(lm_scoring, "MEMO_BITS", places + 1)
+        model.memo = None
+        first = model.scores(texts)
+        assert first == pytest.approx(whole)
+        assert (first == np.concatenate([model.scores([t]) for t in texts])).all()  # to the last digit, however much the memo holds
+    spelled.clear()
+    assert (model.scores(texts[1:2] * 3) == first[1]).all() and sum(spelled) == 0
+    plain = lm_scoring.Events(texts, model.trees, model.bits, True)
+    want = np.zeros(2 * lm_scoring.offsets(model.bits)[1], np.uint32)
+    np.add.at(want, plain.slots.ravel(), np.uint32(1))
+    for gather in (1, 40, 1 << 20):
+        monkeypatch.setattr(lm_scoring, "GATHER", gather)
+        counts = lm_scoring.Counts(model.trees, model.bits)
+        spelled.clear()
+        for t in texts:
+            counts.add([t])
+        counts.add(texts[:3])
+        counts.add(texts[3:])
+        assert (counts.total() == 2 * want).all()
+    assert sum(spelled) < 0.25 * len(lm_scoring.Counts.TOGETHER) * 2 * sum(len(t) + 1 for t in texts)
+
+
 def test_scores_tell_whole_words_apart():
     """Words that share their length and last eight bytes are contexts of their own."""
     trees = lm_scoring.Trees(np.ones((256, 257)))
