@@ -59,7 +59,7 @@ TREE_SHARE = 4096
 #: Bytes that are worked on at once, and decisions per step of the online training.
 BLOCK, BATCH = 1 << 15, 2048
 #: Letters that are gathered before they are counted, and log2 of those whose costs a worker remembers.
-GATHER, MEMO_BITS = 1 << 20, 21
+GATHER, MEMO_BITS = 1 << 22, 22
 _NONE = np.uint64((1 << 64) - 1)
 #: Inputs of the mixing: the byte before, then the hashed contexts. Units: predictions 1/16, weights 1/256, levels STEP.
 INPUTS = 1 + len(BASE_BITS)
@@ -366,8 +366,9 @@ class Counts:
 
     def _flush(self) -> None:
         for ks, gathered in zip(self.TOGETHER, self.gathered, strict=True):
-            keys, n = _distinct(np.concatenate(gathered))
+            keys = np.concatenate(gathered)
             gathered.clear()
+            keys, n = _distinct(keys)
             if keys[-1] == _NONE:
                 keys, n = keys[:-1], n[:-1]
             for a in range(0, len(keys), BLOCK):
